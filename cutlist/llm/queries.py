@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, pii, quality, secrets, warc
+from . import decontam, html, mixing, neardup, pii, quality, secrets, warc
 from .common import shared_dir, table
 
 
@@ -42,6 +42,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_decontaminate": op2_decontaminate,
@@ -50,5 +54,6 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_warc_revisits": op6_warc_revisits,
     "op8_quality_rules": op8_quality_rules,
+    "op9_main_text": op9_main_text,
 }
 ORACLE_SQL: dict[str, str] = {}
