@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, mixing, neardup, pii, quality, secrets, warc
+from . import decontam, html, licences, mixing, neardup, pii, quality, secrets, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -37,6 +37,11 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(spark, archives)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
@@ -46,6 +51,10 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_decontaminate": op2_decontaminate,
@@ -53,7 +62,9 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_warc_revisits": op6_warc_revisits,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_main_text": op9_main_text,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
