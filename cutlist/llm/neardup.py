@@ -236,9 +236,8 @@ def _open_pairs(stars: DataFrame, label: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     """Rows of ``docs`` that are the smallest id of their component, with all their columns.
 
-    Rows without an id have no place in a group and stay; of rows that repeat
-    id and text, one stays.
+    Rows that share an id share its fate: they stay if one of their texts makes
+    it the smallest of a component. So do rows without an id.
     """
     group = grouped(docs, k).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(group, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept
+    return docs.join(group, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
