@@ -15,7 +15,7 @@
    members of that centre. What two sets can share is bounded by what each
    shares with the centre, and by those of its other shingles that a further
    member has; only pairs that this bound leaves open are checked on full sets.
-5. Links are joined to components by alternating large-star and small-star rounds.
+5. Links are joined to components by rounds of contraction.
 
 Defined results: null, empty and wordless texts have no shingles, are linked
 with nothing and form their own component; a text of fewer than ``k`` words has
@@ -135,24 +135,31 @@ def _keyed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of each component of undirected edges a - b.
+    """node, label: one label for all nodes of a component of undirected edges a - b.
 
-    Each round replaces a node's links by links to the smallest node that it
-    meets; labels pass through written tables, never through the driver.
+    Union-find by contraction: in each round every node moves to that of its
+    neighbours and itself which is first in an order hashed anew; links between
+    nodes that moved to one place vanish, so each round holds a fraction of the
+    links of the one before. The moves of all rounds give the labels. They pass
+    through written tables, never through the driver.
     """
-    stars = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = None
-    while True:
-        both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct())
-        state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        before = state
+    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    moves: list[DataFrame] = []
+    while not moves or not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        turn = F.lit(len(moves))
+        first = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn).alias("h"), F.col("b").alias("to"))).alias("f"))
+        to = F.when(F.col("f.h") < F.xxhash64("a", turn), F.col("f.to")).otherwise(F.col("a"))
+        move = materialize(first.select(F.col("a").alias("node"), to.alias("label")))
+        moves.append(move)
+        x, y = (move.select(F.col("node").alias(c), F.col("label").alias(f"{c}2")) for c in "ab")
+        moved = edges.join(x, "a").join(y, "b").filter("a2 <> b2")
+        edges = materialize(moved.select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct())
+    label = moves[0]
+    for move in moves[1:]:
+        then = move.select(F.col("node").alias("label"), F.col("label").alias("then"))
+        label = label.join(then, "label", "left").select("node", F.coalesce("then", "label").alias("label"))
+    return materialize(label) if len(moves) > 1 else label
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
