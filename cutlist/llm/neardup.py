@@ -43,6 +43,8 @@ SIMILARITY = 80
 CHUNK = 200_000
 #: Up to so many class ids are sent to all executors to pick the texts to compare (16 bytes each).
 BROADCAST_IDS = 500_000
+#: Cells of the histograms that bound what two sets can share.
+CELLS = 512
 
 
 def shingles(text: Column, k: int) -> Column:
@@ -173,6 +175,18 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) ->
     return materialize(sets.select("cid", "sh").dropDuplicates(["cid"]))
 
 
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cid, cells: how many shingles of each set fall into each cell."""
+    for batch in batches:
+        sets = batch.column(1)
+        lengths = np.diff(sets.offsets.to_numpy())
+        cell = _mixed(sets.flatten().to_numpy().astype(np.uint64), 99) % np.uint64(CELLS)
+        at = np.repeat(np.arange(len(lengths)), lengths) * CELLS + cell.astype(np.int64)
+        counts = np.bincount(at, minlength=len(lengths) * CELLS).astype(np.int16)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * CELLS), pa.array(counts))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["cid", "cells"])
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs a, b with na, nb, o (size of the intersection) and own (shingles of a that b hasn't)."""
     x = sets.select(F.col("cid").alias("a"), F.col("sh").alias("xa"))
@@ -208,7 +222,7 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
     stars = materialize(_compared(pairs, sets))
     edges = stars.filter(_linked(F.col("o"), F.col("na") + F.col("nb"))).select("a", "b")
     label = components(edges)
-    rest = materialize(_compared(_open_pairs(stars, label), sets).drop("own"))
+    rest = materialize(_compared(_open_pairs(stars, label, sets), sets).drop("own"))
     further = rest.filter(_linked(F.col("o"), F.col("na") + F.col("nb"))).select("a", "b")
     label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(further))
 
@@ -221,8 +235,12 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _open_pairs(stars: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs a, b of one centre, in different components, that the bound does not rule out."""
+def _open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a, b of one centre, in different components, that the bounds do not rule out.
+
+    The first bound is cheap. The second sums, over the cells of both
+    histograms, the lesser count: no pair shares more than that.
+    """
     of = label.select("node", "label")
     named = stars.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
     named = named.join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
@@ -232,11 +250,15 @@ def _open_pairs(stars: DataFrame, label: DataFrame) -> DataFrame:
     own = named.select("c", "a", F.explode("own").alias("e"))
     again = own.groupBy("c", "e").agg(F.count("*").alias("n")).filter("n > 1").select("c", "e")
     s = own.join(again, ["c", "e"]).groupBy("c", "a").agg(F.count("*").cast("int").alias("s"))
-    held = materialize(named.drop("own").join(s, ["c", "a"], "left").fillna(0, ["s"]).select("c", "a", "na", "la", "lb", "o", "s"))
-    y = held.select("c", *[F.col(x).alias(f"y{x}") for x in ("a", "na", "la", "lb", "o", "s")])
+    cells = sets.select("cid", "sh").mapInArrow(_histograms, "cid bigint, cells array<smallint>").withColumnRenamed("cid", "a")
+    held = named.drop("own").join(s, ["c", "a"], "left").fillna(0, ["s"]).join(cells, "a")
+    held = materialize(held.select("c", "a", "na", "la", "lb", "o", "s", "cells"))
+    y = held.select("c", *[F.col(x).alias(f"y{x}") for x in ("a", "na", "la", "lb", "o", "s", "cells")])
     most = F.least(F.col("o"), F.col("yo")) + F.least(F.col("s"), F.col("ys"))
     once = (F.col("yla") == F.col("ylb")) | (F.col("a") < F.col("ya"))
-    open_ = (F.col("la") != F.col("yla")) & once & _linked(most, F.col("na") + F.col("yna"))
+    n = F.col("na") + F.col("yna")
+    shared = F.aggregate(F.zip_with("cells", "ycells", lambda u, v: F.least(u, v).cast("int")), F.lit(0), lambda t, v: t + v)
+    open_ = (F.col("la") != F.col("yla")) & once & _linked(most, n) & _linked(shared, n)
     return held.filter("la <> lb").join(y, (held["c"] == y["c"]) & open_).select(F.greatest("a", "ya").alias("a"), F.least("a", "ya").alias("b")).distinct()
 
 
