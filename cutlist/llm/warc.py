@@ -23,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 REVISIT_BYTES = 1000
 #: Records of one archive file; with pages of some KB a file stays far below what one task can hold.
 FILE_RECORDS = 4000
+#: Up to so many repeated digests are sent to all executors (100 bytes each), so that payloads stay where they are.
+BROADCAST_DIGESTS = 200_000
 #: Fixed value: the profile of revisits with equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
@@ -42,6 +46,9 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
     heads = rows.select("page_id", "digest").filter(F.col("bytes") >= REVISIT_BYTES)
     original = heads.groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("_to"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    original = materialize(original)
+    if original.count() <= BROADCAST_DIGESTS:
+        original = F.broadcast(original)  # else the payloads are shuffled to them
     rows = rows.join(original, (F.col("digest") == F.col("_digest")) & (F.col("bytes") >= REVISIT_BYTES), "left")
     revisit = F.col("_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_to"))
     uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7F]", "%20")
