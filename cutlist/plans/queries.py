@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutlist.functions import text
-from cutlist.operators import clips, combos, errors, layout, progress, silence, speech, words
+from cutlist.operators import captions, clips, combos, errors, jobs, layout, markers, names, progress, silence, speech, transcripts, words
+from cutlist.sources import io
 
 from .fixtures import cte, frame
 
@@ -356,3 +357,133 @@ def fn_normalize_token(w: DataFrame) -> DataFrame:
 )
 def fn_paths(clips_: DataFrame) -> DataFrame:
     return clips_.select("clip_id", text.file_name(F.col("path")).alias("file"), text.safe_segment(F.col("name"), "clip").alias("segment"), text.join_output_path(F.lit("/out//"), F.col("name")).alias("joined"))
+
+
+_TOKENS = r"""with t as (select distinct regexp_replace(lower(text), '[^a-z0-9]', '', 'g') token from words),
+ a(o, alias, bucket) as (values (1,'hook','hook'),(2,'hooks','hook'),(3,'meat','meat'),(4,'meats','meat'),(5,'meet','meat'),(6,'meets','meat'),(7,'body','meat'),(8,'bodies','meat'),(9,'middle','meat'),(10,'cta','cta'),(11,'ctas','cta'),(12,'calltoaction','cta'),(13,'closer','cta'),(14,'close','cta'),(15,'outro','cta'),(16,'outros','cta')),
+ n(w, num) as (values ('one',1),('two',2),('three',3),('four',4),('five',5),('six',6),('seven',7),('eight',8),('nine',9),('ten',10)),
+ b as (select token, arg_min(bucket, o + case when token = alias then 0 else 100 end) bucket from t, a where levenshtein(token, alias) <= 1 group by 1),
+ d as (select token, coalesce(max(case when token = w then num end), max(case when regexp_matches(token, '^\d') and try_cast(regexp_extract(token, '^\d+') as bigint) between 1 and 99 then try_cast(regexp_extract(token, '^\d+') as bigint) end), min(case when levenshtein(token, w) <= 1 then num end)) num from t, n where token <> '' group by 1)"""
+
+
+@query(_TOKENS + " select token, bucket, cast(num as int) num from t left join b using (token) left join d using (token) where bucket is not null or num is not null", "words")
+def markers_vocabulary(w: DataFrame) -> DataFrame:
+    return markers.vocabulary(w).filter("bucket is not null or num is not null").select("token", "bucket", "num")
+
+
+@query(None, "words")
+def markers_detect(w: DataFrame) -> DataFrame:
+    return markers.detect(w, _durations(w))
+
+
+@query(
+    """select path, case when s is null then 'unavailable' when c.model is null then 'absent' when c.model = 'base' and c.size = s and c.mtime_ms = m then 'hit' else 'stale' end state,
+ not coalesce(c.model = 'base' and c.size = s and c.mtime_ms = m, false) pending from (select distinct path from clips) left join (select path, size s, mtime_ms m from inventory) using (path) left join cache c using (path)""",
+    "clips",
+    "cache",
+    "inventory",
+)
+def transcripts_inspect_cache(clips_: DataFrame, cache: DataFrame, inventory: DataFrame) -> DataFrame:
+    return transcripts.inspect_cache(clips_, "base", cache, inventory)
+
+
+@query(
+    """with st as (select path, case when s is null then 'unavailable' when c.model is null then 'absent' when c.model = 'base' and c.size = s and c.mtime_ms = m then 'hit' else 'stale' end state, s, m, k from (select path, max(cast(clip_id[2:] as bigint)) k from clips group by 1) left join (select path, size s, mtime_ms m from inventory) using (path) left join cache c using (path)),
+ f as (select path, case when state = 'hit' then null when k % 17 = 0 then 'model' when state = 'unavailable' or k % 11 = 0 then 'source' when k % 7 = 0 then 'transcription' end failure, state from st)
+ select path, case when failure is not null then 'failed' when state = 'hit' then 'cached' else 'transcribed' end outcome, failure from f""",
+    "clips",
+    "cache",
+    "inventory",
+)
+def transcripts_prepare(clips_: DataFrame, cache: DataFrame, inventory: DataFrame) -> DataFrame:
+    k = F.substring("clip_id", 2, 20).cast("long")
+    attempts = clips_.groupBy("path").agg(F.max(k).alias("k")).select("path", "k", (F.col("k") % 17 != 0).alias("model_ok"), (F.col("k") % 7 != 0).alias("ok"))
+    after = inventory.join(attempts.select("path", "k"), "path").select("path", "size", (F.col("mtime_ms") + F.when(F.col("k") % 11 == 0, 1).otherwise(0)).alias("mtime_ms"))
+    return transcripts.prepare(transcripts.inspect_cache(clips_, "base", cache, inventory), attempts, inventory, after)
+
+
+_JOBS = _DENSE + """, j as (select project_id, combo_idx, combo_id, hook_text, trim(coalesce(hook_text, '')) <> '' has, hd, md, hp, mp, cp from (select combos.*, h.duration hd, m.duration md from combos join clips h on h.clip_id = hook_id join clips m on m.clip_id = meat_id) left join hook_texts t on t.clip_id = hook_id)"""
+
+
+def _jobs(clips_: DataFrame, hook_texts: DataFrame, **kind) -> DataFrame:
+    return jobs.plan(combos.named(combos.plan(clips_), clips_, hook_texts), "b1", "/out", **kind)
+
+
+@query(_JOBS + " select project_id, combo_id, case when has then trim(hook_text) end text_overlay, case when has then hd end hook_sec, case when has then 'slow' else 'fast' end route from j", "clips", "hook_texts")
+def jobs_route(clips_: DataFrame, hook_texts: DataFrame) -> DataFrame:
+    return jobs.route(_jobs(clips_, hook_texts, captions=False)).select("project_id", "combo_id", "text_overlay", "hook_sec", "route")
+
+
+_SEGS = _JOBS + ", i as (select project_id, combo_id, 0 seg, 'hook' as role, hp path from j union all select project_id, combo_id, 1, 'meat', mp from j union all select project_id, combo_id, 2, 'cta', cp from j)"
+
+
+@query(
+    _SEGS + " select project_id, combo_id, seg, coalesce(sum(d) over (partition by combo_id order by seg rows between unbounded preceding and 1 preceding), 0.0) + 250.0 offset_ms, d duration_ms from (select i.*, duration * 1000 d from i join probe using (path))",
+    "clips",
+    "hook_texts",
+    "probe",
+)
+def jobs_timeline(clips_: DataFrame, hook_texts: DataFrame, probe: DataFrame) -> DataFrame:
+    plan = _jobs(clips_, hook_texts, captions=True)
+    rows = jobs.timeline(plan, probe, 250.0).join(plan.select("job_id", "project_id", "combo_id"), "job_id")
+    return rows.select("project_id", "combo_id", "seg", "offset_ms", "duration_ms")
+
+
+@query(_SEGS + " select distinct path from i join probe using (path) where not (width = 1080 and height = 1920 and abs(fps - 30) < 0.5 and codec = 'h264' and audio_codec = 'aac')", "clips", "hook_texts", "probe")
+def jobs_needs_normalization(clips_: DataFrame, hook_texts: DataFrame, probe: DataFrame) -> DataFrame:
+    return jobs.needs_normalization(jobs.inputs(_jobs(clips_, hook_texts, captions=False)), probe, 1080, 1920)
+
+
+@query(_SEGS + " select combo_id, path from i where path not in (select path from cache)", "clips", "hook_texts", "cache")
+def jobs_missing_transcripts(clips_: DataFrame, hook_texts: DataFrame, cache: DataFrame) -> DataFrame:
+    plan = _jobs(clips_, hook_texts, captions=True)
+    return jobs.missing_transcripts(plan, cache).join(plan.select("job_id", "combo_id"), "job_id").select("combo_id", "path")
+
+
+@query(_SEGS + " select combo_id, arg_min('gone: ' || path, seg) error, string_agg(role, ', ' order by seg) failed_roles from i where path not in (select path from inventory) group by 1", "clips", "hook_texts", "inventory")
+def jobs_isolate_failures(clips_: DataFrame, hook_texts: DataFrame, inventory: DataFrame) -> DataFrame:
+    plan = _jobs(clips_, hook_texts, captions=False)
+    gone = clips.missing_sources(clips_, inventory).select("path", F.concat(F.lit("gone: "), "path").alias("error"))
+    return jobs.isolate_failures(plan, gone).join(plan.select("job_id", "combo_id"), "job_id").select("combo_id", "error", "failed_roles")
+
+
+@query(
+    _SEGS + r""" select combo_id, string_agg('file ''' || path || '''', chr(10) order by seg) manifest from i group by 1""",
+    "clips",
+    "hook_texts",
+)
+def io_render_manifest(clips_: DataFrame, hook_texts: DataFrame) -> DataFrame:
+    plan = _jobs(clips_, hook_texts, captions=False)
+    return io.render_manifest(jobs.inputs(plan)).join(plan.select("job_id", "combo_id"), "job_id").select("combo_id", "manifest")
+
+
+@query(None, "clips", "hook_texts", "probe")
+def captions_build(clips_: DataFrame, hook_texts: DataFrame, probe: DataFrame) -> DataFrame:
+    plan = _jobs(clips_, hook_texts, captions=True)
+    n = F.pmod((F.col("duration") * 4).cast("int"), F.lit(14))
+    each = F.explode(F.sequence(F.lit(0), n))
+    spoken = clips_.select("path", each.alias("idx"), F.lit("").alias("text"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))
+    spoken = spoken.select("path", "idx", F.concat(F.lit("w"), F.col("idx").cast("string")).alias("text"), (F.col("idx") * 0.3).alias("start"), (F.col("idx") * 0.3 + 0.3).alias("end"))
+    style = clips_.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in captions.DEFAULTS.items()], F.lit(1080).alias("width"), F.lit(1920).alias("height"), F.lit(None).cast("double").alias("position_y"))
+    documents = captions.build(jobs.timeline(plan, probe), spoken, captions.style_header(captions.sanitize_style(style)))
+    return documents.join(plan.select("job_id", "combo_id"), "job_id").select("combo_id", "ass")
+
+
+@query(
+    "select user_id batch_id, ts, 'cut ' || strftime(ts, '%Y-%m-%d %H-%M-%S') || case when k > 1 then ' (' || k || ')' else '' end directory from (select seq user_id, ts, row_number() over (partition by date_trunc('second', ts) order by seq) k from render_events)",
+    "render_events",
+)
+def names_batch_directories(events: DataFrame) -> DataFrame:
+    return names.batch_directories(events.select(F.col("seq").alias("batch_id"), "ts"), "cut")
+
+
+@query(
+    """with s as (select bucket source_id, clip_id, duration, 'Hook ' || cast(ord as varchar) lab, row_number() over (partition by bucket order by clip_id) rnk from clips)
+ select source_id, rnk as rank, 'Hook_' || split_part(lab, ' ', 2) || case when k = 1 then '' else '_' || cast(k as varchar) end || '.mp4' file from (select *, row_number() over (partition by source_id, lab order by rnk) + 1 k from s)""",
+    "clips",
+)
+def names_segment_files(clips_: DataFrame) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("clip_id")).cast("long")
+    segments = clips_.select(F.col("bucket").alias("source_id"), rank.alias("rank"), F.concat(F.lit("Hook "), F.col("ord").cast("string")).alias("label"))
+    taken = segments.select("source_id", F.concat(F.replace("label", F.lit(" "), F.lit("_")), F.lit(".mp4")).alias("file")).distinct()
+    return names.segment_files(segments, taken).select("source_id", "rank", "file")
