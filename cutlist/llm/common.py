@@ -46,6 +46,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of ``docs``, and all of them as ``_row``, so that no name of theirs can clash with others."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, with ``value`` computed once for each row."""
     return F.transform(F.array(value), body)[0]

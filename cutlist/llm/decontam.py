@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sha256_hex
+from .common import materialize, sha256_hex, wrapped
 
 WINDOW = 10
 #: Words of benchmark text that one pass holds in memory (about 100 bytes each).
@@ -222,4 +222,4 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark window, with all their columns."""
-    return matches(docs, benchmark).filter(F.size("_matches") == 0).select(*docs.columns)
+    return matches(wrapped(docs, "text"), benchmark).filter(F.size("_matches") == 0).select("_row.*")

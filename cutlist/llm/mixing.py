@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import materialize, words, wrapped
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -92,8 +92,6 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def taken(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (size times copies), one row for each row of ``docs``."""
-    from .common import materialize
-
     sizes = materialize(measured(docs))
     plan = materialize(rates(sizes))
     out = joined(sizes, plan, plan.count())
@@ -102,11 +100,6 @@ def taken(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, each as often as the mix takes it, with all their columns."""
-    from .common import materialize
-
     plan = materialize(rates(materialize(measured(docs))))
-    named = plan.select("source", F.struct("rate", "seed").alias("_plan"))
-    rows = joined(docs, named, plan.count())
-    n = F.expr("0L") + (F.floor("_plan.rate") + (_draw(F.col("_plan.seed")) < F.col("_plan.rate") - F.floor("_plan.rate")).cast("long"))
-    rows = rows.withColumn("_copies", n.cast("int")).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = joined(wrapped(docs, "doc_id", "source"), plan.select("source", "rate", "seed"), plan.count())
+    return rows.withColumn("n", copies()).filter("n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("_row.*")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, materialize, words
+from .common import let, lower_ascii, materialize, words, wrapped
 
 REGISTERS = 128
 BAND_ROWS = 4
@@ -94,7 +94,7 @@ def signatures(values: np.ndarray, lengths: np.ndarray, m: int = REGISTERS) -> n
             break
         if walk is None:
             x, doc, k = x[stay], doc[stay], k[stay]
-            walk = np.tile(np.arange(m, dtype=np.uint8), (len(x), 1))
+            walk = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(x), 1))
             walk[np.arange(len(x)), k] = 0
         elif not stay.all():
             x, doc, walk = x[stay], doc[stay], walk[stay]
@@ -269,4 +269,4 @@ def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     it the smallest of a component. So do rows without an id.
     """
     group = grouped(docs, k).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(group, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return wrapped(docs, "doc_id").join(group, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")

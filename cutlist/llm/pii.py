@@ -43,7 +43,7 @@ WINDOW, STRIDE = 64, 32
 HIDDEN = 16
 CLASSES = 130  # ASCII, one for all else, one beside the text
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-EPOCHS = 4
+EPOCHS, LEAST_STEPS = 4, 150
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -204,7 +204,7 @@ def train(windows: list[tuple[str, list[Span]]], seed: int = 7) -> Tagger:
     first = [np.zeros_like(p) for p in model.parts()]
     second = [np.zeros_like(p) for p in model.parts()]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * 64 // len(x)))):
         order = rng.permutation(len(x))
         for at in range(0, len(x), 64):
             pick = order[at : at + 64]

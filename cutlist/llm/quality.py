@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, WORD, let, materialize
+from .common import LOWER, SPACE, UPPER, WORD, materialize, wrapped
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -121,4 +121,4 @@ def accepted(docs: DataFrame) -> DataFrame:
     content = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
     verdict = judge(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("content").alias("_content")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_host")) & (content == F.col("_content"))
-    return docs.join(verdict, same, "left_semi")
+    return wrapped(docs, "doc_id", "source", "text").join(verdict, same, "left_semi").select("_row.*")

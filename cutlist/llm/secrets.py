@@ -140,6 +140,9 @@ def report(docs: DataFrame, path: str) -> DataFrame:
         each = F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string")))
         return F.array_join(each, ",")
 
-    counts = [F.size(F.filter(every, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{RULES[k].kind}") for k in range(BASE)]
+    def count(k: int) -> Column:
+        return F.size(F.filter(every, lambda x: x["kind"] == k)).cast("long").alias(f"n_{RULES[k].kind}")
+
+    counts = [count(k) for k in range(BASE)]
     base = F.filter(every, lambda x: x["kind"] < BASE)
     return found.select("doc_id", *counts, sha256_hex(text(base)).alias("base_sha256"), text(every).alias("spans"))
