@@ -174,7 +174,7 @@ def test_personal_data(spark):
         t = "".join(rng.choices("ab1234567890..@@  --++()%é\n", k=rng.randrange(40)))
         assert pii.base_spans(t) == naive_pii(t)
     forms = ["joe.b@mail.example.org", "10.1.2.3", "4111111111111111", "+1 (555) 010-9999"]
-    texts = [(i, f"é {prose(rng, 30)} {forms[i % 4]} {prose(rng, 200)} {forms[i % 3]} end") for i in range(80)] + odd()
+    texts = [(i, f"é {prose(rng, 30)} x {forms[i % 4]} y {prose(rng, 200)} z {forms[i % 3]} end") for i in range(80)] + odd()
     docs = documents(spark, texts)
     rows = pii.report(docs).collect()
     assert len(rows) == len(texts)
