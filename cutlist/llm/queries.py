@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, licences, mixing, neardup, pii, quality, secrets, toxicity, warc
+from . import decontam, html, licences, mixing, neardup, pii, quality, secrets, sql, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -67,4 +67,4 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = sql.ORACLE_SQL
