@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Kinds in their order, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
 _AT = re.compile(r"([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
@@ -362,9 +364,14 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fitted(docs: DataFrame) -> Tagger:
-    """A tagger for these documents: all their windows are looked at, the first by hash are labelled rows to train on."""
-    found = docs.select("text").mapInArrow(_labelled, "key bigint, window string, spans array<int>")
-    rows = found.orderBy("key", "window").limit(TRAIN_WINDOWS).collect()
+    """A tagger for these documents: all their windows are counted, and about ``TRAIN_WINDOWS`` picked by hash are labelled rows to train on.
+
+    The hash is uniform, so a bound on it picks that many, and no task sends
+    the driver more than its share.
+    """
+    found = materialize(docs.select("text").mapInArrow(_labelled, "key bigint, window string, spans array<int>"))
+    bound = min(1.0, TRAIN_WINDOWS / max(1, found.count())) * float(1 << 56)
+    rows = sorted(found.filter(F.col("key") <= int(bound)).distinct().collect())
     rng = random.Random(11)
     windows = _examples(rng)
     for row in rows:
