@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutlist.functions import text
-from cutlist.operators import captions, clips, combos, errors, jobs, layout, markers, names, progress, silence, speech, transcripts, words
+from cutlist.operators import captions, clips, combos, errors, jobs, layout, markers, names, progress, qa, silence, speech, transcripts, words
 from cutlist.sources import io
 
 from .fixtures import cte, frame
@@ -487,3 +487,12 @@ def names_segment_files(clips_: DataFrame) -> DataFrame:
     segments = clips_.select(F.col("bucket").alias("source_id"), rank.alias("rank"), F.concat(F.lit("Hook "), F.col("ord").cast("string")).alias("label"))
     taken = segments.select("source_id", F.concat(F.replace("label", F.lit(" "), F.lit("_")), F.lit(".mp4")).alias("file")).distinct()
     return names.segment_files(segments, taken).select("source_id", "rank", "file")
+
+
+@query(None, "words")
+def qa_run(w: DataFrame) -> DataFrame:
+    windows = _windows(w)
+    bucket = F.element_at(F.array(F.lit("hook"), F.lit("meat"), F.lit("cta")), (F.col("seg_id") % 3 + 1).cast("int"))
+    name = F.concat_ws("-", F.col("source_id").cast("string"), F.col("seg_id").cast("string"))
+    cut = windows.select("source_id", name.alias("clip_id"), bucket.alias("bucket"), F.col("seg_start").alias("source_start"), F.col("seg_end").alias("source_end"))
+    return qa.run(cut, w).select("source_id", "clip_id", "bucket", "source_start", "source_end", "confidence", "recuts", "status")
