@@ -38,14 +38,18 @@ def normalize_chunk_text(c: Column) -> Column:
     return F.regexp_replace(F.lower(trim_space(c)), r"(?U)^[\s\p{P}\p{S}]+|[\s\p{P}\p{S}]+$", "")
 
 
+def first_within_one(token: Column, table: dict[str, str] | dict[str, int]) -> Column:
+    """Value of the first key of ``table`` that is ``token`` within one edit; the token itself goes first."""
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in table.items()])
+    exact = F.get(F.filter(rows, lambda r: r["k"] == token), F.lit(0))
+    near = F.get(F.filter(rows, lambda r: F.levenshtein(token, r["k"], 1) >= 0), F.lit(0))
+    return F.coalesce(exact["v"], near["v"])
+
+
 def parse_spoken_number(c: Column) -> Column:
     """1 to 10 for a number word, 1 to 99 for leading digits, else the first word within one edit; null otherwise."""
-    exact = F.coalesce(*[F.when(c == w, n) for w, n in NUMBER_WORDS.items()])
-    digits = F.regexp_extract(c, r"^\d+", 0)
-    number = F.when((F.length(digits) > 0) & (F.length(F.regexp_replace(digits, "^0+", "")) <= 2), digits.cast("int"))
-    number = F.when(number.between(1, 99), number)
-    near = F.coalesce(*[F.when(F.levenshtein(c, F.lit(w), 1) >= 0, n) for w, n in NUMBER_WORDS.items()])
-    return F.when(F.length(c) > 0, F.coalesce(exact, number, near)).cast("int")
+    number = F.regexp_extract(c, r"^0*([1-9]\d?)(?!\d)", 1).try_cast("int")
+    return F.when(F.length(c) > 0, F.coalesce(number, first_within_one(c, NUMBER_WORDS))).cast("int")
 
 
 def ass_timestamp(ms: Column) -> Column:
