@@ -496,3 +496,15 @@ def qa_run(w: DataFrame) -> DataFrame:
     name = F.concat_ws("-", F.col("source_id").cast("string"), F.col("seg_id").cast("string"))
     cut = windows.select("source_id", name.alias("clip_id"), bucket.alias("bucket"), F.col("seg_start").alias("source_start"), F.col("seg_end").alias("source_end"))
     return qa.run(cut, w).select("source_id", "clip_id", "bucket", "source_start", "source_end", "confidence", "recuts", "status")
+
+
+@query(
+    """with j as (select clip_id, trim(hook_text) t from hook_texts where trim(hook_text) <> ''), g as (select clip_id, cast(floor(length(t) * (67 * 0.55) + 0.5) as bigint) + 2 * 40 box_w from j)
+ select clip_id, box_w, cast(67 + 2 * 23 as bigint) box_h, cast(floor((1080 - box_w) / 2.0 + 0.5) as bigint) box_x, cast(230 as bigint) box_y, cast(540 as bigint) text_x, cast(287 as bigint) text_y from g""",
+    "hook_texts",
+)
+def captions_title_overlay(hook_texts: DataFrame) -> DataFrame:
+    spoken = hook_texts.filter("trim(hook_text) <> ''").select(
+        "clip_id", F.trim("hook_text").alias("text_overlay"), F.lit(2.5).alias("hook_sec"), F.lit(1080).alias("width"), F.lit(1920).alias("height"), F.lit(None).cast("double").alias("position_x"), F.lit(None).cast("double").alias("position_y")
+    )
+    return captions.title_overlay(spoken).select("clip_id", "box_w", "box_h", "box_x", "box_y", "text_x", "text_y")

@@ -129,3 +129,13 @@ def test_every_sql_matches(spark):
         columns = [d[0] for d in found.description]
         assert sorted(columns) == sorted(got.columns), name
         assert Counter(map(repr, found.fetchall())) == Counter(repr(tuple(r)) for r in got.select(*[f"`{c}`" for c in columns]).collect()), name
+
+
+def test_simple_captions_and_title(spark):
+    c = spark.createDataFrame([("j", 0, " {hi}\nyou ", 0.0, 1500.0), ("j", 1, "x", 5.0, 5.0), ("j", 2, "", 6.0, 7.0)], "job_id string, idx int, text string, start double, end double")
+    assert captions.simple(c).first().lines == "Dialogue: 0,0:00:00.00,0:00:01.50,Default,,0,0,0,,hi\\Nyou"
+    j = spark.createDataFrame([("Hello", 2.0, 1080, 1920, 50.0, 10.0), (None, 2.0, 1080, 1920, None, None)], "text_overlay string, hook_sec double, width int, height int, position_x double, position_y double")
+    (r,) = captions.title_overlay(j).collect()
+    assert (r.font_size, r.box_w, r.box_h, r.box_x, r.box_y) == (67, 264, 113, 408, 192)
+    assert r.box_line.startswith("Dialogue: 0,0:00:00.00,0:00:02.00,TextBox,,0,0,0,,{\\pos(408,192)\\p1}m 33 0 l 231 0 b 264 0 264 0 264 33 l 264 80 ")
+    assert r.text_line.endswith("{\\pos(540,249)}Hello")
