@@ -28,8 +28,9 @@ BROADCAST_SOURCES = 100_000
 
 
 def _draw(seed):
-    """A number in [0, 1) from the document's id and ``seed``."""
-    return F.pmod(F.xxhash64("doc_id", seed.cast("int")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A number in [0, 1) from the document's id and ``seed``: the first 52 bits of their MD5."""
+    key = F.concat(seed.cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def targets(sizes: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ def _lower(column: str) -> str:
 
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
+#: Characters of web tokens, and up to 1000 of them.
+_TOKEN = "[A-Za-z0-9_-]"
+_MORE = _TOKEN + "{0,1000}"
 _ITEM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 OP2 = f"""with d as (select doc_id, regexp_extract_all({_lower('text')}, {_ITEM_WORDS}) w from documents),
@@ -22,6 +25,44 @@ items as (select doc_id, count(*) n_items, sha256(string_agg(cast(item_id as var
 select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(s, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join spots using (doc_id) left join items using (doc_id)"""
 
+#: The rules of the secret scan as this dialect has them (repeats of more than 1000 in parts): pattern, group that is measured, least length, and a string that any match holds.
+_SECRETS = {
+    "assign": (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, ""),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18, "AKIA"),
+    "hex": (r"[0-9a-f]+", 0, 16, ""),
+    "github": (r"gh[pousr]_[A-Za-z0-9]{36,255}", 0, 40, "gh"),
+    "jwt": (rf"eyJ{_TOKEN}{{8,1000}}{3 * _MORE}{_TOKEN}{{0,96}}\.eyJ{_TOKEN}{{8,1000}}{7 * _MORE}{_TOKEN}{{0,192}}\.{_TOKEN}{{16,1000}}{_TOKEN}{{0,24}}", 0, 40, "eyJ"),
+    "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 20, "-----BEGIN "),
+}
+
+
+def _secrets() -> str:
+    found = []
+    for k, (kind, (pattern, group, least, part)) in enumerate(_SECRETS.items()):
+        p = "'" + pattern.replace("'", "''") + "'"
+        found.append(
+            f"select r, {k} k, '{kind}' kind, regexp_split_to_array(t, {p}) p, regexp_extract_all(t, {p}) f, regexp_extract_all(t, {p}, {group}) v, {least} least from d where contains(t, '{part}') and regexp_matches(t, {p})"
+        )
+    return f"""with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+h as ({' union all '.join(found)}),
+m as (select r, k, kind, length(f[i]) n, length(v[i]) >= least ok, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) s from (select *, unnest(range(1, len(f) + 1)) i from h)),
+a as (select r, count(*) filter (k = 0) n_assign, count(*) filter (k = 1) n_access, count(*) filter (k = 2) n_hex, string_agg(kind || ':' || s || ':' || (s + n), ',' order by s, k) filter (k < 3) base, string_agg(kind || ':' || s || ':' || (s + n), ',' order by s, k) spans from (select * replace (cast(s as bigint) as s) from m where ok) group by 1)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join a using (r)"""
+
+
+OP3 = _secrets()
+
+#: Sources at their limit come first by size over weight, so the level is that of the first place whose own source is not above it.
+OP4 = f"""with d as (select row_number() over () r, doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) as bigint) size from documents),
+s as (select *, [5, 2, 1][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as bigint)] w from (select source, cast(sum(size) as bigint) z from d group by 1)),
+o as (select *, row_number() over by_ratio i, cast(sum(z) over by_ratio as bigint) - z full_, cast(sum(w) over () - sum(w) over by_ratio + w as bigint) free, cast(sum(z) over () as bigint) total from s window by_ratio as (order by z / w, source nulls last rows between unbounded preceding and current row)),
+l as (select *, (1.5e0 * total - 2 * full_) / free level from o),
+p as (select source, z, least(w * (select arg_min(level, i) from l where w * level <= 2 * z), 2e0 * z) target from s),
+q as (select *, case when z > 0 then target / z else 0e0 end rate from p),
+x as (select r, doc_id, size, q.*, seed, cast('0x' || substr(md5(seed || ':' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) / 4503599627370496e0 < rate - floor(rate) more from d join q on d.source is not distinct from q.source, (select unnest(range(16)) seed)),
+b as (select source, arg_min(seed, (off, seed)) seed from (select source, seed, abs(any_value(floor(rate) * z) + sum(case when more then size else 0 end) - any_value(target)) off from x group by 1, 2) group by 1)
+select doc_id, size, z source_size, target, cast(size * (floor(rate) + more::int) as bigint) taken from x join b on x.source is not distinct from b.source and x.seed = b.seed"""
+
 OP5 = f"""with recursive d as (select doc_id, regexp_extract_all({_lower('text')}, {_WORDS}) w from documents),
 s as (select distinct doc_id, array_to_string(list_slice(w, i, i + 1), ' ') k from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 1) + 1)) i from d where len(w) > 0)),
 n as (select doc_id, count(*) n from s group by 1),
@@ -48,4 +89,4 @@ m as (select d.doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_stri
  coalesce(dup.n, 0) n_dup_lines, coalesce(rep.n, 0) n_repeat_words, cast(coalesce(gone.n, 0) as bigint) n_removed_words from d left join rep using (r) left join dup using (r) left join gone using (r))
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * n_removed_words <= 50 * n_words kept from m"""
 
-ORACLE_SQL = {"op2_decontaminate": OP2, "op5_near_duplicates": OP5, "op6_warc_revisits": OP6, "op8_quality_rules": OP8}
+ORACLE_SQL = {"op2_decontaminate": OP2, "op3_secret_scan": OP3, "op4_mix_sources": OP4, "op5_near_duplicates": OP5, "op6_warc_revisits": OP6, "op8_quality_rules": OP8}

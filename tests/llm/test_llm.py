@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from cutlist.llm import decontam, html, licences, mixing, neardup, pii, quality, secrets, toxicity, warc
+from cutlist.llm import decontam, html, licences, mixing, neardup, pii, quality, queries, secrets, toxicity, warc
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -332,3 +332,18 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r.doc_id for r in out}
     assert not ids & {1, 2, 3} and ids <= {0, *range(4, 30)}
     assert all("@" not in r.text for r in out) and max(Counter(r.doc_id for r in out).values()) <= 2
+
+
+def test_sql_of_scan_and_mix_on_odd_rows(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    jwt = "eyJ" + "a" * 1500 + ".eyJ" + "b" * 2600 + "." + "c" * 1010
+    texts = [None, "", "a b", "toKEN = 'abcdefghijkl' ffé 0123456789abcdef0", "é" * 70 + " AKIA" + "Z" * 14 + " api_key:short", f"x {jwt} y", "ghp_" + "q" * 40, "-----BEGIN RSA PRIVATE KEY-----", "secret=ſecret password=aaaaaaaaaaaaa=token:bbbbbbbbbbbbbb", "w " * 400]
+    rows = [(i if i % 9 else None, t, s) for i, (t, s) in enumerate((t, s) for s in (None, "", "b", "a", "é", "zz") for t in texts)]
+    rows += [(7, "w w w", "only"), (7, "w w w", "only")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("op3_secret_scan", "op4_mix_sources"):
+        got = queries.QUERIES[name](spark, str(tmp_path))
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(f"select {', '.join(got.columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want)), name
