@@ -26,7 +26,7 @@ from .common import LOWER, SPACE, UPPER, WORD, materialize, wrapped
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is frequent on a host when more documents hold it than both of these.
+#: A line is frequent on a host when more documents hold it than both of these; where a share of 0 is asked for, the count alone decides.
 LINE_MIN_DOCUMENTS = 20
 LINE_MAX_SHARE = 0.08
 #: Share of its words, in percent, beyond which a document is depleted.
@@ -75,24 +75,26 @@ def measured(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "host", "content", "m.*", "n_symbols", "l.n_dup_lines", "l.lines")
 
 
-def frequent_lines(narrow: DataFrame) -> DataFrame:
+def frequent_lines(narrow: DataFrame, share: float = LINE_MAX_SHARE) -> DataFrame:
     """host, line, keeper: lines above their host's limit, and the content that keeps them."""
     line = narrow.select("host", "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
     counts = line.groupBy("host", "line").agg(F.count_distinct("content").alias("n"), F.min("content").alias("keeper"))
     counts = counts.filter(F.col("n") > LINE_MIN_DOCUMENTS)
+    if not share:
+        return counts.select("host", "line", "keeper")
     hosts = narrow.groupBy(F.col("host").alias("h")).agg(F.count_distinct("content").alias("of"))
-    over = F.col("n") > LINE_MAX_SHARE * F.col("of")
+    over = F.col("n") > share * F.col("of")
     return counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(over).select("host", "line", "keeper")
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, share: float = LINE_MAX_SHARE) -> DataFrame:
     """One row for each row of ``docs``: the measures, base_failed, n_removed_words and kept.
 
     The measures are written once, so that neither a second pass nor a lost
     executor has the texts read and measured again.
     """
     narrow = materialize(measured(docs).withColumn("row", F.monotonically_increasing_id()))
-    frequent = frequent_lines(narrow).select(F.col("host").alias("h"), F.col("line").alias("k"), "keeper")
+    frequent = frequent_lines(narrow, share).select(F.col("host").alias("h"), F.col("line").alias("k"), "keeper")
     held = narrow.select("row", "host", "content", F.explode("lines").alias("x")).select("row", "host", "content", "x.*")
     removed = (
         held.join(frequent, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("k")))
@@ -115,10 +117,11 @@ def judge(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the rules keep, with all their columns.
 
-    Equal ids with equal texts and hosts get equal verdicts, so the verdict is
+    One count of documents is the limit on hosts of every size: a share would
+    let a line pass that thousands of texts of a large host hold. Equal ids with equal texts and hosts get equal verdicts, so the verdict is
     joined by these.
     """
     content = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    verdict = judge(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("content").alias("_content")).distinct()
+    verdict = judge(docs, share=0).filter("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("content").alias("_content")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_host")) & (content == F.col("_content"))
     return wrapped(docs, "doc_id", "source", "text").join(verdict, same, "left_semi").select("_row.*")

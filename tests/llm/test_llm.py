@@ -61,6 +61,16 @@ def test_quality_line_frequency(spark):
     assert kept.filter("doc_id < 100").count() == 31
 
 
+def test_accepted_counts_lines_without_regard_to_the_size_of_the_host(spark):
+    rng = random.Random(22)
+    passage = " ".join(f"passage{i}" for i in range(60))
+    texts = [(i, f"{prose(rng, 55, 10**6)}\n{passage if i < 25 else prose(rng, 60, 10**6)}") for i in range(800)]
+    kept = {r.doc_id for r in quality.accepted(documents(spark, texts)).select("doc_id").collect()}
+    assert len(kept & set(range(25))) == 1 and kept >= set(range(25, 800))  # 25 of 800 texts: 3 %
+    edge = {r.doc_id for r in quality.accepted(documents(spark, [(i, t) for i, t in texts if i < 20 or i >= 25])).select("doc_id").collect()}
+    assert edge >= set(range(20))  # 20 are at the limit, not above it
+
+
 def brute_components(texts, k):
     sets = []
     for i, t in texts:
