@@ -52,14 +52,23 @@ transform(array(regexp_extract_all(text, r'{WORD}', 0)), w -> struct(
   {_REPEATED} as n_repeat_words))[0]
 """
 
+#: A line as it is compared.
+_KEY = f"trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), r'{SPACE}', ' '))"
+
 #: Lines with a word: raw for the count of repeats, then key and word count.
 _LINES = f"""
 transform(array(filter(split(text, '\\n', -1), l -> l rlike r'{WORD}')), ls -> struct(
   cast(size(ls) - size(array_distinct(ls)) as bigint) as n_dup_lines,
-  transform(transform(ls, l -> trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), r'{SPACE}', ' '))),
+  transform(transform(ls, l -> {_KEY}),
     l -> struct(xxhash64(l) as line, length(l) - length(replace(l, ' ', '')) + 1 as n))as lines))[0]
 """
 
+#: The text without the lines whose keys are in removed; a text without any stays as it is.
+_WITHOUT = f"""
+case when size(removed) > 0 then array_join(filter(split(_row.text, '\\n', -1),
+  l -> not (l rlike r'{WORD}' and array_contains(removed, xxhash64({_KEY})))), '\\n') else _row.text end
+"""
+
 
 def measured(docs: DataFrame) -> DataFrame:
     """Columns of ``docs`` (doc_id, text, source) as base measures, line keys and content key."""
@@ -88,7 +97,7 @@ def frequent_lines(narrow: DataFrame, share: float = LINE_MAX_SHARE) -> DataFram
 
 
 def judge(docs: DataFrame, share: float = LINE_MAX_SHARE) -> DataFrame:
-    """One row for each row of ``docs``: the measures, base_failed, n_removed_words and kept.
+    """One row for each row of ``docs``: the measures, base_failed, n_removed_words, removed (keys of its lines that go) and kept.
 
     The measures are written once, so that neither a second pass nor a lost
     executor has the texts read and measured again.
@@ -100,7 +109,7 @@ def judge(docs: DataFrame, share: float = LINE_MAX_SHARE) -> DataFrame:
         held.join(frequent, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("k")))
         .filter(F.col("content") != F.col("keeper"))
         .groupBy("row")
-        .agg(F.sum("n").cast("long").alias("gone"))
+        .agg(F.sum("n").cast("long").alias("gone"), F.collect_set("line").alias("removed"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = 100 * F.col("n_removed_words") > MAX_REMOVED_PERCENT * F.col("n_words")
@@ -115,13 +124,19 @@ def judge(docs: DataFrame, share: float = LINE_MAX_SHARE) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, with all their columns.
+    """Rows of ``docs`` that the rules keep, with all their columns, without their frequent lines; ``n_chars``, if there, is counted anew.
 
     One count of documents is the limit on hosts of every size: a share would
-    let a line pass that thousands of texts of a large host hold. Equal ids with equal texts and hosts get equal verdicts, so the verdict is
-    joined by these.
+    let a line pass that thousands of texts of a large host hold. Equal ids with
+    equal texts and hosts get equal verdicts, so the verdict is joined by these.
     """
     content = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    verdict = judge(docs, share=0).filter("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("content").alias("_content")).distinct()
+    verdict = judge(docs, share=0).filter("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("content").alias("_content"), "removed")
+    verdict = verdict.dropDuplicates(["_id", "_host", "_content"])
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_host")) & (content == F.col("_content"))
-    return wrapped(docs, "doc_id", "source", "text").join(verdict, same, "left_semi").select("_row.*")
+    row = F.col("_row").withField("text", F.expr(_WITHOUT))
+    out = wrapped(docs, "doc_id", "source", "text").join(verdict, same).select(row.alias("_row"))
+    if "n_chars" in docs.columns:
+        count = F.length("_row.text").cast(docs.schema["n_chars"].dataType)
+        out = out.select(F.when(F.col("_row.text").isNull(), F.col("_row")).otherwise(F.col("_row").withField("n_chars", count)).alias("_row"))
+    return out.select("_row.*")

@@ -71,6 +71,19 @@ def test_accepted_counts_lines_without_regard_to_the_size_of_the_host(spark):
     assert edge >= set(range(20))  # 20 are at the limit, not above it
 
 
+def test_accepted_texts_lose_their_frequent_lines(spark):
+    rng = random.Random(23)
+    banner = "Sign up  for\tour letter"
+    texts = [(i, f"{prose(rng, 60, 10**6)}\n\n{banner.upper() if i % 2 else banner}\n{prose(rng, 60, 10**6)}\n{banner}") for i in range(30)] + [(50, f"{prose(rng, 60, 10**6)}\n \nend  here")]
+    rows = {r.doc_id: r for r in quality.accepted(documents(spark, texts)).collect()}
+    assert len(rows) == 31 and all(r.n_chars == len(r.text) for r in rows.values())
+    whole = [i for i, t in texts if rows[i].text == t]
+    assert len(whole) == 2 and 50 in whole  # one text keeps the line
+    for i, t in texts:
+        if i not in whole:
+            assert rows[i].text == "\n".join(x for x in t.split("\n") if "sign up" not in x.lower())
+
+
 def brute_components(texts, k):
     sets = []
     for i, t in texts:
