@@ -1,15 +1,17 @@
 """Main text of pages by wrappers: union-free regular expressions inferred from the pages of a host.
 
 Every page of a host takes part in its wrapper. A page is a stream of tags and
-texts, nested by its elements. Adjacent repeats of a tag or of a short group of
-tags are folded into one repeated group. Then two expressions at a time are
+texts, nested by its elements. Texts that most pages of the host hold at one
+place are anchors; they are counted first. Adjacent repeats of a tag or of a
+short group of tags are folded into one repeated group between the anchors, but
+nothing that holds an anchor is folded. Then two expressions at a time are
 aligned: equal tags match and are aligned inside, texts that differ become a
 slot, a repeated group absorbs what repeats it, and what only one side has
 becomes optional. Each partition aligns its own pages first, so that the steps
 by host see few small expressions that hold hashes in place of texts.
 
-A wrapper tells template from content: text that most pages of a host share at
-one place is template; a slot is content. Extraction reads a page again and
+A wrapper tells template from content: an anchor is template, among siblings of
+its name too; a slot is content. Extraction reads a page again and
 keeps the blocks of its main part - its article or main element, or the whole
 body if it has none - but for menus, headers, footers, asides, forms, scripts,
 adverts, notices and comments, by element or by words in class, id or role, and
@@ -140,19 +142,30 @@ def blocks(source: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str]]:
 
 
 # An expression is a list [name, pages, repeated, children]; a text is ["#", pages, repeated, hash or 0 for a slot].
+# What holds an anchor has "=" in its name: "#=" for the text itself, with its hash behind it, as behind a name
+# whose element holds anchors alone; such nodes are aligned only with their like.
 
 
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big") or 1
 
 
-def expression(source: str) -> list:
-    """The folded expression of one page."""
+def _path(place: tuple[str, ...]) -> str:
+    return "".join(f"/{x}" for x in place)
+
+
+def _key(path: str, text: int) -> int:
+    """A text at its place."""
+    return _hash(f"{path} {text}")
+
+
+def expression(places: list[str], texts: list[int], keys: list[int], anchors: frozenset[int]) -> list:
+    """The folded expression of one page, given by its blocks in order."""
     root: list = ["", 1, 0, []]
-    path: tuple[str, ...] = ()
+    path: list[str] = []
     nodes = [root]
-    for place, _, bad, text in blocks(source):
-        place = (*place, "!") if bad else place
+    for joined, text, key in zip(places, texts, keys, strict=True):
+        place = joined.split("/")[1:]
         same = 0
         while same < min(len(place), len(path)) and place[same] == path[same]:
             same += 1
@@ -164,13 +177,20 @@ def expression(source: str) -> list:
             nodes[-1][3].append(node)
             nodes.append(node)
         path = place
-        nodes[-1][3].append(["#", 1, 0, _hash(text)])
+        nodes[-1][3].append([f"#={text}" if key in anchors else "#", 1, 0, text])
     return _folded(root)
 
 
+def _is_text(node: list) -> bool:
+    return node[0].startswith("#")
+
+
 def _folded(node: list) -> list:
-    if node[0] != "#":
+    if not _is_text(node):
         children = [_folded(c) for c in node[3]]
+        if any("=" in c[0] for c in children):
+            alone = all(_is_text(c) and "=" in c[0] for c in children)
+            node[0] += "=" + (".".join(str(c[3]) for c in children) if alone else "")
         for period in (1, 2, 3):
             children = _fold(children, period)
         node[3] = children
@@ -178,11 +198,11 @@ def _folded(node: list) -> list:
 
 
 def _fold(nodes: list, period: int) -> list:
-    """Adjacent repeats of ``period`` nodes with equal names become one repeated group."""
+    """Adjacent repeats of ``period`` nodes with equal names become one repeated group; what holds an anchor stays as it is."""
     out: list = []
     for node in nodes:
         out.append(node)
-        if len(out) >= 2 * period and all(out[-i][0] == out[-i - period][0] for i in range(1, period + 1)):
+        if len(out) >= 2 * period and all(out[-i][0] == out[-i - period][0] and "=" not in out[-i][0] for i in range(1, period + 1)):
             again, out = out[-period:], out[:-period]
             for i, other in enumerate(again):
                 merged = aligned(out[i - period], other)
@@ -193,8 +213,8 @@ def _fold(nodes: list, period: int) -> list:
 
 def aligned(a: list, b: list) -> list:
     """One expression that generates what two of one name do."""
-    if a[0] == "#":
-        return ["#", a[1] + b[1], a[2] | b[2], a[3] if a[3] == b[3] else 0]
+    if _is_text(a):
+        return [a[0], a[1] + b[1], a[2] | b[2], a[3] if a[3] == b[3] else 0]
     x, y = a[3], b[3]
     if len(x) == len(y) and all(p[0] == q[0] for p, q in zip(x, y, strict=True)):
         children = [aligned(p, q) for p, q in zip(x, y, strict=True)]
@@ -220,23 +240,22 @@ def aligned(a: list, b: list) -> list:
 
 
 def template_texts(wrapper: list) -> list[int]:
-    """Hashes of place and text that are template: fixed, unrepeated, on most pages of a host with slots."""
-    least, found, slots = max(EVIDENCE, EVIDENCE_SHARE * wrapper[1]), [], 0
+    """Hashes of place and text that are template: the anchors of a host with slots."""
+    found, slots = set(), 0
 
-    def walk(node: list, place: str, repeated: int) -> None:
+    def walk(node: list, place: str) -> None:
         nonlocal slots
-        repeated |= node[2]
-        if node[0] != "#":
+        if not _is_text(node):
             for child in node[3]:
-                walk(child, f"{place}/{node[0]}", repeated)
+                walk(child, f"{place}/{node[0].split('=')[0]}")
         elif not node[3]:
             slots += 1
-        elif node[1] >= least and not repeated:
-            found.append(_hash(f"{place} {node[3]}"))
+        elif "=" in node[0]:
+            found.add(_key(place, node[3]))
 
     for child in wrapper[3]:
-        walk(child, "", wrapper[2])
-    return found if slots else []
+        walk(child, "")
+    return sorted(found) if slots else []
 
 
 def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str:
@@ -245,7 +264,7 @@ def main_text(source: str | None, template: frozenset[int] = frozenset()) -> str
     has_main = any(main and not bad for _, main, bad, _ in found)
     kept = [(place, text) for place, main, bad, text in found if not bad and (main or not has_main)]
     if template:
-        kept = [(p, t) for p, t in kept if _hash(f"{''.join(f'/{x}' for x in p)} {_hash(t)}") not in template]
+        kept = [(p, t) for p, t in kept if _key(_path(p), _hash(t)) not in template]
     return "\n\n".join(t for _, t in kept)
 
 
@@ -253,6 +272,23 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+_BLOCKS = "host string, places array<string>, texts array<bigint>, keys array<bigint>, main array<bigint>"
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each page: places, hashes of texts, keys of both, and the distinct keys outside of boilerplate."""
+    for batch in batches:
+        places, texts, keys, main = [], [], [], []
+        for source in batch.column(1).to_pylist():
+            found = [(_path((*place, "!") if bad else place), _hash(text), bad) for place, _, bad, text in blocks(source or "")]
+            places.append([p for p, _, _ in found])
+            texts.append([t for _, t, _ in found])
+            keys.append([_key(p, t) for p, t, _ in found])
+            main.append(list({k for k, (_, _, bad) in zip(keys[-1], found, strict=True) if not bad}))
+        arrays = [batch.column(0), pa.array(places, pa.list_(pa.string())), *[pa.array(x, pa.list_(pa.int64())) for x in (texts, keys, main)]]
+        yield pa.RecordBatch.from_arrays(arrays, names=["host", "places", "texts", "keys", "main"])
+
+
 def _partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
 
@@ -262,8 +298,8 @@ def _partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        for name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            new = expression(source or "")
+        for name, places, texts, keys, anchors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            new = expression(places, texts, keys, frozenset(anchors or ()))
             held[name] = aligned(held[name], new) if name in held else new
             if len(held) >= HOSTS_HELD:
                 yield rows()
@@ -277,13 +313,29 @@ def _merged(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": part["host"].iloc[:1], "salt": part["salt"].iloc[:1], "wrapper": [json.dumps(wrappers[0])]})
 
 
+def anchors(parsed: DataFrame) -> DataFrame:
+    """_host, anchors: keys that most pages of a host hold, at least ``EVIDENCE`` of them; about two for each block of a page at most."""
+    held = parsed.select("host", F.explode("main").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= EVIDENCE)
+    hosts = parsed.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("of"))
+    often = held.join(hosts, F.col("host") == F.col("_host")).filter(F.col("n") >= EVIDENCE_SHARE * F.col("of"))
+    return often.groupBy("_host").agg(F.collect_list("key").alias("anchors"))
+
+
+def _by_host(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (host) with the columns of ``known`` (_host), null where it has none."""
+    return rows.join(F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known, F.col("host") == F.col("_host"), "left")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON): one expression for each host, aligned over all its pages (url, html).
 
-    A task passes on one expression for each host, and these meet in two steps,
-    the first by host and one of 16 salts.
+    Pages are read once, and their blocks written as hashes: for the anchors,
+    and then for the expressions. A task passes on one expression for each host,
+    and these meet in two steps, the first by host and one of 16 salts.
     """
-    parts = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_partly, "host string, wrapper string")
+    parsed = materialize(pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_parsed, _BLOCKS))
+    anchored = _by_host(parsed, materialize(anchors(parsed))).select("host", "places", "texts", "keys", "anchors")
+    parts = anchored.mapInArrow(_partly, "host string, wrapper string")
     parts = parts.withColumn("salt", F.spark_partition_id() % 16)
     schema = "host string, salt int, wrapper string"
     some = parts.groupBy("host", "salt").applyInPandas(_merged, schema)
@@ -300,8 +352,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of ``pages`` (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html")
     templates = materialize(wrappers(pages).mapInArrow(_templates, "_host string, template array<bigint>"))
-    known = F.broadcast(templates) if templates.count() <= BROADCAST_HOSTS else templates
-    joined = pages.join(known, host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "template")
+    joined = _by_host(pages.withColumn("host", host(F.col("url"))), templates).select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

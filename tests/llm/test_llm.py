@@ -316,6 +316,24 @@ def test_main_text(spark):
     assert rows[90].text == "" and rows[None].text == "a"
 
 
+def test_constant_siblings_are_template(spark):
+    def body(i):
+        return "".join(f"<p>text {i} {j}</p>" for j in range(1 + i % 5))
+
+    made = [(i, f"http://a.example/{i}", f"<body><article><p>Read us daily</p>{body(i)}<p>Write to us</p></article></body>") for i in range(20)]
+    made += [(100 + i, f"http://b.example/{i}", f"<body><div>All rights reserved</div><div>{body(i)}</div></body>") for i in range(20)]
+    made += [(200 + i, f"http://c.example/{i}", f"<body><ul><li>{'often' if i % 4 else f'else {i}'}</li><li>item {i}</li></ul><div><div>deep</div>{body(i)}</div><div>{body(i)}</div></body>") for i in range(20)]
+    made += [(300 + i, f"http://d.example/{i}", f"<body><p>{'some' if i < 9 else i}</p>{body(i)}</body>") for i in range(20)]
+    made += [(400 + i, "http://e.example/", "<body><p>one</p><p>two</p></body>") for i in range(8)]
+    rows = {r.page_id: r.text.split("\n\n") for r in html.extracted(spark.createDataFrame(made, "page_id long, url string, html string").repartition(5)).collect()}
+    for i in range(20):
+        own = [f"text {i} {j}" for j in range(1 + i % 5)]
+        assert rows[i] == rows[100 + i] == own
+        assert rows[200 + i] == [*([] if i % 4 else [f"else {i}"]), f"item {i}", *own, *own]
+        assert rows[300 + i] == ["some" if i < 9 else str(i), *own]  # on fewer than half of the pages
+    assert all(rows[400 + i] == ["one", "two"] for i in range(8))  # no slot, no template
+
+
 def test_toxicity(spark):
     rng = random.Random(10)
     bad = ["grumbo", "flarn", "vexit", "idiot"]
