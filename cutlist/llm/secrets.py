@@ -45,9 +45,10 @@ RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", 1, r"[0-9a-f]+", 0, 16),
-    Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,255}", 0, 40),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,8192}\.[A-Za-z0-9_-]{16,1024}", 0, 40),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 20),
+    Rule("github", 2, r"gh[pousr]_[A-Za-z0-9]{36,}+", 0, 40),
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}+", 0, 40),
+    # up to the END line where one comes before any other line of five hyphens
+    Rule("pem", 2, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?+", 0, 20),
 )
 BASE = 3
 #: A text without a match of this holds no match of the rule; it spares the search, not the text.

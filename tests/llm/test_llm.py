@@ -247,6 +247,21 @@ def test_secrets_and_ledger(spark):
     assert secrets.ledger(spark, path).count() == before == len({t or "" for _, t in texts})
 
 
+def test_own_kinds_have_no_length_caps(spark):
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = f"{head}\nDEK-Info: AES-256-CBC\n\n{chr(10).join('Z' * 64 for _ in range(2000))}\n{tail}"
+    found = {
+        "jwt": ["eyJ" + "q" * 9000 + ".eyJ" + "r" * 20000 + "." + "s" * 5000],
+        "github": ["ghp_" + "Q" * 300],
+        "pem": [key, head, f"{head} {'z-' * 50_000} end", f"{head}\nZZ\n{head}\nZZ\n{tail}"],
+    }
+    span = {f"{head} {'z-' * 50_000} end": [(0, len(head))], found["pem"][3]: [(0, len(head)), (len(head) + 4, len(found["pem"][3]))]}
+    texts = [(i, f"é {t} .") for i, t in enumerate(sum(found.values(), []))]
+    want = [",".join(f"{k}:{a + 2}:{b + 2}" for a, b in span.get(t, [(0, len(t))])) for k, ts in found.items() for t in ts]
+    rows = {r.doc_id: r.spans for r in secrets.report(documents(spark, texts), secrets.new_ledger(spark)).collect()}
+    assert [rows[i] for i, _ in texts] == want
+
+
 def test_new_rule_version_scans_that_rule_alone(spark, monkeypatch):
     docs, path = documents(spark, [(1, "deadbeefdeadbeef00 token=abcdefghijklmnop")]), secrets.new_ledger(spark)
     secrets.report(docs, path).collect()
