@@ -1,14 +1,12 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, word rules."""
+"""What the operators of this subpackage share: reading tables, joins on skewed keys, word rules."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutlist.sources.shared import materialize, shared_base, shared_dir, write_table  # noqa: F401  (one place for all operators)
+
 #: The white space of the word rules, as a regular-expression class, and its complement.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,29 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where that
-    is unset, as in local tests, a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        base = "file://" + tempfile.mkdtemp(prefix="cutlist-", dir="/tmp/checkpoints")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+#: Keys that more than one in so many rows bear are hot. There can't be more of them than this, whatever the data.
+HOT = 10_000
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
+def join_counted(rows: DataFrame, table: DataFrame, on: dict[str, str], count: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``table`` beside its keys and ``count``; null where it has no row for them.
 
-    This cuts the lineage: a lost executor costs the tasks that read these
-    files, not the work that made them.
+    ``table`` has one row for each key, with the number of rows that bear it;
+    ``total`` is the number of all rows. ``on`` maps columns of ``rows`` to the
+    keys; nulls are equal. A key may hold a third of all rows: those above a
+    share of one in ``HOT`` are sent to all executors, and there are fewer than
+    ``HOT`` of them; their rows are spread over the tasks of the join that the
+    other keys take.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    hot = F.col(count) * F.lit(HOT) > F.lit(total)
+    values = [c for c in table.columns if c not in on.values() and c != count]
+
+    def side(part: DataFrame, mark: str) -> DataFrame:
+        return part.select(*[F.col(k).alias(f"{mark}{i}") for i, k in enumerate(on.values())], F.struct(F.lit(True).alias("_"), *values).alias(f"{mark}v"))
+
+    def same(mark: str) -> Column:
+        out = F.lit(True)
+        for i, c in enumerate(on):
+            out = out & F.col(c).eqNullSafe(F.col(f"{mark}{i}"))
+        return out
+
+    first = rows.join(F.broadcast(side(table.filter(hot), "_h")), same("_h"), "left")
+    spread = F.when(F.col("_hv").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(4096)) + 1).otherwise(F.lit(0).cast("long"))
+    rest = side(table.filter(~hot), "_c").withColumn("_cs", F.lit(0).cast("long"))
+    both = first.withColumn("_s", spread).join(rest, same("_c") & (F.col("_s") == F.col("_cs")), "left")
+    found = F.coalesce("_hv", "_cv")
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns], *[found[v].alias(v) for v in values])
 
 
 def wrapped(docs: DataFrame, *columns: str) -> DataFrame:

@@ -14,7 +14,8 @@ whole.
 
 Defined results: null text counts as empty; a document without words has zeros
 and fails; null hosts form one host; repeated rows and repeated ids are judged
-row by row; other columns of the input are not looked at.
+row by row; texts of any length are measured whole; an empty table gives an
+empty table; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -22,27 +23,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, WORD, materialize, wrapped
+from .common import LOWER, SPACE, UPPER, WORD, join_counted, materialize, wrapped
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is frequent on a host when more documents hold it than both of these; where a share of 0 is asked for, the count alone decides.
-LINE_MIN_DOCUMENTS = 20
-LINE_MAX_SHARE = 0.08
+#: A line is frequent on a host when more distinct texts hold it than this, however large the host is.
+LINE_DOCUMENTS = 20
+#: On small hosts the limit is this share of the host's distinct texts, but no less than the second number.
+SMALL_SHARE, SMALL_DOCUMENTS = 0.08, 4
 #: Share of its words, in percent, beyond which a document is depleted.
 MAX_REMOVED_PERCENT = 50
 
-#: Words in 3-word windows that occur twice or more: windows are hashed and
-#: sorted, equal neighbours give positions, and the union of the windows there
-#: is counted. 64-bit hashes are compared within one document only.
+#: Words in 3-word windows that occur twice or more. Most texts repeat no window,
+#: which their distinct hashes tell. Of the others the hashes are sorted, equal
+#: neighbours give positions, and the union of the windows there is counted.
+#: 64-bit hashes are compared within one document only.
 _REPEATED = """
-case when size(w) < 4 then 0L else transform(array(sort_array(transform(
-    sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) as h, i as p)))), s ->
-  aggregate(
-    sort_array(transform(filter(sequence(0, size(s) - 1), k -> s[k].h = get(s, k - 1).h or s[k].h = get(s, k + 1).h), k -> s[k].p)),
-    struct(-9 as last, 0L as n),
-    (a, p) -> struct(p as last, a.n + least(3, p - a.last) as n),
-    a -> a.n))[0] end
+case when size(w) < 4 then 0L else transform(array(transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))), hs ->
+  case when size(array_distinct(hs)) = size(hs) then 0L else transform(array(sort_array(transform(hs, (h, i) -> struct(h as h, i as p)))), s ->
+    aggregate(
+      sort_array(transform(filter(sequence(0, size(s) - 1), k -> s[k].h = get(s, k - 1).h or s[k].h = get(s, k + 1).h), k -> s[k].p)),
+      struct(-9 as last, 0L as n),
+      (a, p) -> struct(p as last, a.n + least(3, p - a.last) as n),
+      a -> a.n))[0] end)[0] end
 """
 
 _METRICS = f"""
@@ -84,32 +87,38 @@ def measured(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "host", "content", "m.*", "n_symbols", "l.n_dup_lines", "l.lines")
 
 
-def frequent_lines(narrow: DataFrame, share: float = LINE_MAX_SHARE) -> DataFrame:
-    """host, line, keeper: lines above their host's limit, and the content that keeps them."""
+def frequent_lines(narrow: DataFrame) -> DataFrame:
+    """host, line, keeper, rows: lines above their host's limit, the content that keeps them, and how many rows hold them.
+
+    The limit never grows with the host beyond ``LINE_DOCUMENTS``, so a line that
+    thousands of texts of a large host hold can't pass as rare.
+    """
     line = narrow.select("host", "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    counts = line.groupBy("host", "line").agg(F.count_distinct("content").alias("n"), F.min("content").alias("keeper"))
-    counts = counts.filter(F.col("n") > LINE_MIN_DOCUMENTS)
-    if not share:
-        return counts.select("host", "line", "keeper")
-    hosts = narrow.groupBy(F.col("host").alias("h")).agg(F.count_distinct("content").alias("of"))
-    over = F.col("n") > share * F.col("of")
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(over).select("host", "line", "keeper")
+    counts = line.groupBy("host", "line").agg(F.count_distinct("content").alias("n"), F.count("*").alias("rows"), F.min("content").alias("keeper"))
+    counts = materialize(counts.filter(F.col("n") > SMALL_DOCUMENTS))
+    # only small hosts have a limit of their own; a host with a limit of 20 needs no look at its size
+    small = narrow.groupBy(F.col("host").alias("h")).agg(F.count_distinct("content").alias("of")).filter(SMALL_SHARE * F.col("of") < LINE_DOCUMENTS)
+    limit = F.greatest(F.lit(float(SMALL_DOCUMENTS)), SMALL_SHARE * F.col("of"))
+    few = counts.filter(F.col("n") <= LINE_DOCUMENTS).join(small, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > limit)
+    return counts.filter(F.col("n") > LINE_DOCUMENTS).select("host", "line", "keeper", "rows").unionByName(few.select("host", "line", "keeper", "rows"))
 
 
-def judge(docs: DataFrame, share: float = LINE_MAX_SHARE) -> DataFrame:
+def judge(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: the measures, base_failed, n_removed_words, removed (keys of its lines that go) and kept.
 
     The measures are written once, so that neither a second pass nor a lost
-    executor has the texts read and measured again.
+    executor has the texts read and measured again. A line that a third of all
+    rows hold is no skew: frequent lines go by ``join_counted``.
     """
     narrow = materialize(measured(docs).withColumn("row", F.monotonically_increasing_id()))
-    frequent = frequent_lines(narrow, share).select(F.col("host").alias("h"), F.col("line").alias("k"), "keeper")
-    held = narrow.select("row", "host", "content", F.explode("lines").alias("x")).select("row", "host", "content", "x.*")
+    frequent = materialize(frequent_lines(narrow))
+    held = narrow.select("row", "host", "content", F.explode("lines").alias("x")).select("row", "host", "content", "x.*").withColumnRenamed("n", "words")
+    total = narrow.agg(F.sum(F.size("lines"))).first()[0] or 0
     removed = (
-        held.join(frequent, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("k")))
+        join_counted(held, frequent, {"host": "host", "line": "line"}, "rows", total)
         .filter(F.col("content") != F.col("keeper"))
         .groupBy("row")
-        .agg(F.sum("n").cast("long").alias("gone"), F.collect_set("line").alias("removed"))
+        .agg(F.sum("words").cast("long").alias("gone"), F.collect_set("line").alias("removed"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = 100 * F.col("n_removed_words") > MAX_REMOVED_PERCENT * F.col("n_words")
@@ -126,12 +135,11 @@ def judge(docs: DataFrame, share: float = LINE_MAX_SHARE) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the rules keep, with all their columns, without their frequent lines; ``n_chars``, if there, is counted anew.
 
-    One count of documents is the limit on hosts of every size: a share would
-    let a line pass that thousands of texts of a large host hold. Equal ids with
-    equal texts and hosts get equal verdicts, so the verdict is joined by these.
+    Equal ids with equal texts and hosts get equal verdicts, so the verdict is
+    joined by these.
     """
     content = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    verdict = judge(docs, share=0).filter("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("content").alias("_content"), "removed")
+    verdict = judge(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("content").alias("_content"), "removed")
     verdict = verdict.dropDuplicates(["_id", "_host", "_content"])
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_host")) & (content == F.col("_content"))
     row = F.col("_row").withField("text", F.expr(_WITHOUT))
