@@ -1,23 +1,32 @@
 """License scans: a paragraph classifier over word n-grams, confirmed against templates.
 
-A paragraph is a line. Its words and word pairs are hashed to a sparse vector;
-a multinomial logistic regression tells the license families and ``unknown``
-apart. It is trained on written variants of the templates and on at most about
-``TRAIN_PARAGRAPHS`` paragraphs of the corpus, by hash, as unknown; a second
-part of these sets one temperature, so that the probabilities are calibrated. A
-family other than unknown stands only if the paragraph also shares enough word
-pairs with one of its templates.
+A paragraph is a line, without the signs that begin a comment line, and joined
+with the next one where that goes on in lower case or in a bracket, or where the
+line is of the length that texts are wrapped at and ends inside of a sentence. Its words and word pairs are hashed to a sparse vector; a multinomial
+logistic regression tells the license families and ``unknown`` apart. It is
+trained on written variants of the templates and on at most about
+``TRAIN_PARAGRAPHS`` paragraphs of the corpus, by hash, as unknown. One
+temperature calibrates the probabilities: it is set by a first model on templates
+and corpus paragraphs which that model has not seen. A family other than unknown
+stands only if the paragraph also shares enough word pairs with one of its
+templates.
 
 All of the main path is DataFrame functions and Spark's own feature and
-regression stages. Paragraphs with a finding are few, so only those are grouped.
+regression stages. A paragraph without any word pair of any template can't be
+confirmed whatever the classifier says, so only the others are scored; that
+changes no result. Paragraphs with a finding are few, so only those are grouped.
 
 Defined results: null and empty texts have no paragraphs; rows that repeat id
-and text get equal results; lines without words are no paragraphs.
+and text get equal results; lines without words are no paragraphs; texts, lines
+and words of any length are read whole, without recursion; of families with
+equal scores the first in their order is taken; an empty table gives an empty
+result, with a model of the written variants alone.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -29,20 +38,81 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, materialize
 
-#: Families and short notices in the words that projects use for them.
+#: Families, and paragraphs of their notices and texts in the words that they are published in.
 TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "This project is released under the Apache 2.0 license."],
-    "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "This software is distributed under the terms of the MIT License."],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "Licensed under the GPLv3.", "You should have received a copy of the GNU General Public License along with this program."],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2.1"],
-    "agpl-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "bsd": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the 3-clause BSD license."],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        "This project is released under the Apache 2.0 license.",
+    ],
+    "mit": [
+        "Released under the MIT License.",
+        "Licensed under the MIT license.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "This software is distributed under the terms of the MIT License.",
+    ],
+    "gpl-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GPLv3.",
+        "You should have received a copy of the GNU General Public License along with this program.  If not, see https://www.gnu.org/licenses/",
+    ],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "Licensed under the GPLv2.",
+        "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ],
+    "lgpl": [
+        "This library is licensed under the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
+    ],
+    "agpl-3.0": [
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
+    "bsd-3-clause": [
+        "Released under the BSD License.",
+        "Licensed under the 3-clause BSD license.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "bsd-2-clause": [
+        "Licensed under the 2-clause BSD license.",
+        "Released under the simplified BSD license.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+    "isc": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the terms of the ISC license.",
+    ],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Licensed under the Mozilla Public License 2.0.",
+    ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "Released under the Eclipse Public License.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "Released under the Unlicense.",
+    ],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under CC BY 3.0."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Content is available under CC BY-NC 3.0."],
     "cc0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "This work is dedicated to the public domain."],
-    "proprietary": ["All rights reserved. No part of this publication may be reproduced without permission of the publisher.", "This software is proprietary and confidential; unauthorized copying is strictly prohibited."],
+    "proprietary": ["All rights reserved. No part of this publication may be reproduced without permission of the publisher.", "This software is proprietary and confidential; unauthorized copying is strictly prohibited.", "No part of this book may be reproduced or transmitted in any form without the written permission of the publisher."],
 }
 #: Sentences with the words of licenses that grant none.
 NO_LICENSE = ["The driver lost his license in May.", "A license to fish is sold at the office.", "The restaurant is licensed to sell wine.", "They released the version in general.", "The public may use the software at the library.", "Version 2.0 of the report was released under pressure.", "The general was under attack.", "He asked for permission to copy the work.", "Creative work is common here."]
@@ -56,8 +126,14 @@ SIMILARITY = 0.5
 
 
 def terms(text: Column) -> Column:
-    """Lower-case words of letters, digits and inner dots or dashes."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(r"[\p{L}0-9]+(?:[.-][\p{L}0-9]+)*"), F.lit(0))
+    """Lower-case words of letters, digits, and dots or dashes that do not end them. One class without groups: the engine takes it in a loop, however long a word is."""
+    found = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(r"[\p{L}0-9][\p{L}0-9.-]*+"), F.lit(0))
+    return F.transform(found, lambda w: F.rtrim(w, F.lit(".-")))
+
+
+def _terms(text: str) -> list[str]:
+    """The same for the templates, which are ASCII."""
+    return [w.rstrip(".-") for w in re.findall(r"[a-z0-9][a-z0-9.-]*", text.lower())]
 
 
 def pairs(words: Column) -> Column:
@@ -66,9 +142,15 @@ def pairs(words: Column) -> Column:
     )
 
 
+def _lines(text: Column) -> Column:
+    """Array of the paragraphs of ``text``, those without words too."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^[ \t]*+(?:[#*;%]++|//++|--++)?+[ \t]*+", "")
+    return F.split(F.regexp_replace(bare, r"\n(?=[^\n])(?:(?=[a-z(])|(?<=(?:^|\n)[^\n]{55,99}[A-Za-z0-9,)]\n))", " "), "\n", -1)
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, content (key of the text), place and words of each line that has a word."""
-    rows = docs.select("doc_id", _content(F.col("text")).alias("content"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "line"))
+    """doc_id, content (key of the text), place and words of each paragraph that has a word."""
+    rows = docs.select("doc_id", _content(F.col("text")).alias("content"), F.posexplode(_lines(F.col("text"))).alias("place", "line"))
     return rows.select("doc_id", "content", "place", terms(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 
@@ -81,45 +163,49 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("grams", F.concat("words", pairs(F.col("words"))))
 
 
-def _local(spark: SparkSession, rows: list[tuple[str, int]]) -> DataFrame:
-    """A small table from literals: text, label."""
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(float(k)).alias("label")) for t, k in rows])))
+def _local(spark: SparkSession, rows: list[tuple[str, int, bool]]) -> DataFrame:
+    """A small table from literals: text, label, apart."""
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(float(k)).alias("label"), F.lit(a).alias("apart")) for t, k, a in rows])))
 
 
-def written(seed: int = 3) -> list[tuple[str, int]]:
-    """Labelled variants of the templates: with words left out, words around them, or other case."""
+def written(seed: int = 3) -> list[tuple[str, int, bool]]:
+    """Labelled variants of the templates - with words left out, words around them, or other case - and whether their template, every third of a family, sets the temperature."""
     rng, out = random.Random(seed), []
     around = "project page see file the of and code our this text data by from more under author note".split()
     for k, family in enumerate(TEMPLATES):
-        for text in TEMPLATES[family]:
-            out += [(text, k)] * 2
+        for t, text in enumerate(TEMPLATES[family]):
+            apart = t % 3 == 2
+            out += [(text, k, apart)] * 2
             for _ in range(VARIANTS):
                 words = [w for w in text.split() if rng.random() > 0.08]
                 words = rng.choices(around, k=rng.randrange(5)) + words + rng.choices(around, k=rng.randrange(5))
-                out.append((" ".join(words), k))
-    for text in NO_LICENSE:
-        out += [(text, len(TEMPLATES))] * 4
-        out += [(" ".join(rng.sample(text.split(), len(text.split()))), len(TEMPLATES)) for _ in range(4)]
+                out.append((" ".join(words), k, apart))
+    for t, text in enumerate(NO_LICENSE):
+        out += [(text, len(TEMPLATES), t % 3 == 2)] * 4
+        out += [(" ".join(rng.sample(text.split(), len(text.split()))), len(TEMPLATES), t % 3 == 2) for _ in range(4)]
     return out
 
 
 def fitted(docs: DataFrame) -> tuple[PipelineModel, float]:
     """The classifier and its temperature."""
     spark = docs.sparkSession
-    total = docs.count()
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    share = min(1.0, TRAIN_PARAGRAPHS / max(1, total))
-    # one line of each picked document, both by hash; lines that name a license are no evidence for unknown
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < round(share * 1_000_000))
-    line = F.element_at(lines, (F.pmod(F.xxhash64("doc_id"), F.size(lines)) + 1).cast("int"))
-    other = picked.select(line.alias("text"), F.lit(float(len(TEMPLATES))).alias("label")).filter(~F.lower("text").rlike(r"licen[sc]e|copyright|public domain|all rights|\bcc\b|creative commons|redistribut"))
+    # one paragraph of each picked document, both by hash; paragraphs that name a license are no evidence for unknown
+    bound = int(min(1.0, TRAIN_PARAGRAPHS / max(1, docs.count())) * (1 << 63))
+    picked = docs.filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1)), 1) <= F.lit(min(bound, (1 << 63) - 1)))
+    picked = picked.select("doc_id", _lines(F.col("text")).alias("lines"))
+    line = F.element_at("lines", (F.pmod(F.xxhash64("doc_id"), F.size("lines")) + 1).cast("int"))
+    other = picked.select(line.alias("text"), F.lit(float(len(TEMPLATES))).alias("label"), (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(4)) == 0).alias("apart"))
+    other = other.filter(~F.lower("text").rlike(r"licen[sc]e|copyright|public domain|all rights|\bcc\b|creative commons|redistribut"))
     rows = _local(spark, written()).union(other).withColumn("words", terms(F.col("text"))).filter(F.size("words") > 0)
-    rows = materialize(_vectors(rows).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(4))))
+    # a few thousand rows at any size, so two tasks are enough to train on them
+    rows = materialize(_vectors(rows).select("grams", "label", "apart").coalesce(2))
     hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=BUCKETS, binary=True)
     regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, probabilityCol="", predictionCol="", rawPredictionCol="raw")
-    model = Pipeline(stages=[hashing, regression]).fit(rows.filter("part > 0").select("grams", "label"))
-    held = model.transform(rows.filter("part = 0").select("grams", "label")).select("label", vector_to_array("raw").alias("raw")).collect()
-    return model, _temperature(np.array([r["raw"] for r in held]), np.array([int(r["label"]) for r in held]))
+    pipeline = Pipeline(stages=[hashing, regression])
+    first = pipeline.fit(rows.filter("not apart").select("grams", "label"))
+    held = first.transform(rows.filter("apart").select("grams", "label")).select("label", vector_to_array("raw").alias("raw")).collect()
+    temperature = _temperature(np.array([r["raw"] for r in held]), np.array([int(r["label"]) for r in held]))
+    return pipeline.fit(rows.select("grams", "label")), temperature
 
 
 def _temperature(raw: np.ndarray, label: np.ndarray) -> float:
@@ -135,26 +221,24 @@ def _temperature(raw: np.ndarray, label: np.ndarray) -> float:
 
 
 def _template_pairs() -> list[list[list[str]]]:
-    """Word pairs of each template, by family; words as ``terms`` has them."""
-    import regex
-
-    out = []
-    for texts in TEMPLATES.values():
-        words = [regex.findall(r"[\p{L}0-9]+(?:[.-][\p{L}0-9]+)*", t.lower()) for t in texts]
-        out.append([sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for w in words])
-    return out
+    """Word pairs of each template, by family."""
+    words = [[_terms(t) for t in texts] for texts in TEMPLATES.values()]
+    return [[sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for w in texts] for texts in words]
 
 
 def findings(rows: DataFrame, model: PipelineModel, temperature: float) -> DataFrame:
     """Paragraphs with a confirmed family: doc_id, content, place, family, probability, similarity."""
+    known = _template_pairs()
+    any_pair = F.array(*[F.lit(p) for p in sorted({p for texts in known for t in texts for p in t})])
+    rows = rows.withColumn("pairs", pairs(F.col("words"))).filter(F.arrays_overlap("pairs", any_pair))
     raw = vector_to_array("raw")
-    scored = model.transform(_vectors(rows)).select("doc_id", "content", "place", "words", raw.alias("raw"))
+    scored = model.transform(rows.withColumn("grams", F.concat("words", "pairs"))).select("doc_id", "content", "place", "pairs", raw.alias("raw"))
     top = F.array_max("raw")
     best = (F.array_position("raw", top) - 1).cast("int")
     likely = F.lit(1.0) / F.aggregate("raw", F.lit(0.0), lambda s, z: s + F.exp((z - top) / temperature))
     named = scored.withColumn("k", best).filter(F.col("k") < len(TEMPLATES)).withColumn("probability", likely).filter(F.col("probability") >= PROBABILITY)
-    templates = F.array(*[F.array(*[F.array(*[F.lit(p) for p in t]) for t in texts]) for texts in _template_pairs()])
-    own = named.withColumn("pairs", F.array_distinct(pairs(F.col("words"))))
+    templates = F.array(*[F.array(*[F.array(*[F.lit(p) for p in t]) for t in texts]) for texts in known])
+    own = named.withColumn("pairs", F.array_distinct("pairs"))
     shared = F.transform(F.element_at(templates, F.col("k") + 1), lambda t: F.size(F.array_intersect(t, "pairs")) / F.greatest(F.lit(1), F.least(F.size(t), F.size("pairs"))))
     own = own.withColumn("similarity", F.array_max(shared)).filter(F.col("similarity") >= SIMILARITY)
     return own.select("doc_id", "content", "place", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("k") + 1).alias("family"), "probability", "similarity")
@@ -167,7 +251,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     # a set, as rows may repeat id and text
     each = F.array_sort(F.collect_set(F.struct("place", "family", "probability", "similarity")))
     found = found.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(each.alias("licenses"))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[\p{L}0-9]"))
+    lines = F.filter(_lines(F.col("text")), lambda x: x.rlike(r"[\p{L}0-9]"))
     rows = docs.select("doc_id", _content(F.col("text")).alias("content"), F.size(lines).cast("long").alias("n_paragraphs"))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content")), "left")
     families = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"]))), ",")

@@ -349,6 +349,77 @@ def test_constant_siblings_are_template(spark):
     assert all(rows[400 + i] == ["one", "two"] for i in range(8))  # no slot, no template
 
 
+def labelled_pages(rng, hosts=6, each=14):
+    """Pages whose main text is known, in templates without an element or class that names a part."""
+    rows, want = [], {}
+    for h in range(hosts):
+        box, menu, foot, talk = (rng.choice(["div", "section"]) for _ in range(4))
+        names = [f"x{rng.randrange(10**6)}q" for _ in range(5)]
+        links = [prose(rng, 1) for _ in range(5)]
+        notice = prose(rng, 6, 10**6)
+        for _ in range(each):
+            paragraphs = [prose(rng, rng.randrange(20, 60), 10**6) for _ in range(rng.randrange(1, 7))]
+            title = prose(rng, 5, 10**6)
+            page = f"<html><body><{menu} class={names[0]}><ul>" + "".join(f"<li><a href=/{x}>{x}</a>" for x in links) + f"</ul></{menu}>"
+            if rng.random() < 0.6:
+                page += f"<{box} class={names[1]}><p>{prose(rng, 8, 10**6)}</p></{box}>"  # an advert of its own
+            page += f"<{box} class={names[2]}><h1>{title}</h1><p>{notice}</p>" + "".join(f"<p>{p}</p>" for p in paragraphs) + f"</{box}>"
+            page += f"<{talk} class={names[3]}>" + "".join(f"<div><b>{prose(rng, 1)}</b><p>{prose(rng, 4, 10**6)}</p></div>" for _ in range(rng.randrange(3))) + f"</{talk}>"
+            page += f"<{foot} class={names[4]}>{links[0]} {notice[:9]} all rights</{foot}></body></html>"
+            i = len(rows)
+            rows.append((i, f"https://h{h}.example/{i}", page))
+            want[i] = [title, *paragraphs]
+    return rows, want
+
+
+def test_main_text_follows_from_the_wrapper(spark):
+    rows, want = labelled_pages(random.Random(41))
+    schema = "page_id long, url string, html string"
+    found, total = html.wrappers(spark.createDataFrame(rows, schema).repartition(7))
+    assert total == len(rows) and found.count() == 6
+    got = {r.page_id: r.text.split("\n\n") for r in html.extracted(spark.createDataFrame(rows, schema).repartition(7)).collect()}
+    right = sum(len(set(got[i]) & set(want[i])) for i in want)
+    assert right / sum(len(set(t)) for t in got.values()) > 0.98 and right / sum(len(t) for t in want.values()) > 0.98
+    without = sum(html.main_text(source, html.Rule()).split("\n\n") != got[i] for i, _, source in rows)
+    assert without > 0.9 * len(rows)  # tags and classes alone leave menus, adverts, notices and comments in
+
+
+def test_wrappers_do_not_depend_on_partitions(spark, monkeypatch):
+    rows, _ = labelled_pages(random.Random(42), hosts=2, each=40)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = sorted(map(str, html.wrappers(frame.repartition(2))[0].collect()))
+    assert sorted(map(str, html.wrappers(frame.orderBy(F.desc("page_id")).repartition(9))[0].collect())) == first
+    whole = sorted(map(str, html.extracted(frame).collect()))
+    monkeypatch.setattr(html, "GROUP_PAGES", 4)  # several groups, and two rounds to join them
+    monkeypatch.setattr(html, "GROUP_FAN", 3)
+    again = html.wrappers(frame.repartition(3))[0]
+    assert again.count() == 2 and {tuple(r) for r in again.select("host", "of").collect()} == {("h0.example", 40), ("h1.example", 40)}
+    assert sorted(map(str, html.wrappers(frame.repartition(5))[0].collect())) == sorted(map(str, again.collect()))
+    assert sorted(map(str, html.extracted(frame).collect())) == whole
+
+
+def test_pages_of_any_depth_and_form():
+    import time
+
+    began = time.time()
+    assert html.main_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
+    assert html.main_text("<article>" + "<div>x y" * 20_000).count("x") == 20_000
+    assert html.main_text("<p>t</p>" + "<a " * 200_000) == "t"
+    assert html.main_text('<p>t</p>' + '<a "' * 100_000 + ">") == "t"
+    assert html.main_text("<p>t</p>" + "<!--" * 100_000) == "t" and html.main_text("a < b <3 c") == "a < b <3 c"
+    assert html.main_text("<article>" + "".join(f"<h{i % 6 + 1}>{i}</h{i % 6 + 1}><p>p{i}</p>" for i in range(5_000)) + "</article>").count("\n\n") == 9_999
+    assert time.time() - began < 60
+    assert html.main_text('<article><p>a</p><section class="related-work"><p>b</p><p class="social-history">c</p><label>d</label></section></article>') == "a\n\nb\n\nc\n\nd"
+
+
+def test_pages_odd_input(spark):
+    schema = "page_id long, url string, html string, host string, of long"
+    assert html.extracted(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, None, None, "h", 1), (1, None, None, "h", 1), (None, "http://a/", "<p>x", "h", 1), (2, "http://a/", "<p>x", "h", 1), (3, "http://a/", "<td>" * 3000 + "é" * 100_000, "h", 1)]
+    got = html.extracted(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.page_id or 0, r.text[:3], r.n_chars) for r in got) == [(0, "x", 1), (1, "", 0), (1, "", 0), (2, "x", 1), (3, "ééé", 100_000)]
+
+
 def test_toxicity(spark):
     rng = random.Random(10)
     bad = ["grumbo", "flarn", "vexit", "idiot"]
@@ -370,9 +441,54 @@ def test_licenses(spark):
     lines = {"mit": "Released under the MIT License.", "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "apache-2.0": "Licensed under the Apache License, Version 2.0."}
     families = [*lines, "", ""]
     texts = [(i, prose(rng, 40) + "\n" + lines.get(families[i % 6], prose(rng, 9))) for i in range(60)] + odd()
-    rows = {r.doc_id: r for r in licences.scanned(documents(spark, texts)).collect()}
+    wrapped = """/*
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:
+ */"""
+    texts += [(70, wrapped), (71, "This program is free software; you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published by the Free\nSoftware Foundation; either version 2 of the License, or any later version.")]
+    texts += [(72, "a." * 10_000 + " x"), (73, "z" * 200_000), (74, "MIT\n\n\n" + "a-" * 50_000)]  # the engine must not nest once for each repeat
+    docs = documents(spark, texts)
+    rows = {r.doc_id: r for r in licences.scanned(docs).collect()}
     assert all(rows[i].families == families[i % 6] for i in range(60))
     assert rows[900].n_paragraphs == 0 and rows[900].families == ""
+    assert rows[70].families == "mit" and rows[70].n_paragraphs == 1 and rows[71].families == "gpl-2.0"
+    assert rows[72].n_paragraphs == rows[73].n_paragraphs == 1 and rows[74].n_paragraphs == 2 and not rows[72].families
+    # leaving out paragraphs without a template's word pair changes nothing: score every paragraph, confirm in Python
+    model, temperature = licences.fitted(docs)
+    paragraphs = licences.paragraphs(docs)
+    by_hand = set()
+    known = licences._template_pairs()
+    for r in model.transform(licences._vectors(paragraphs)).select("doc_id", "place", "words", "raw").collect():
+        raw = r.raw.toArray()
+        p = 1 / sum(2.718281828459045 ** ((z - max(raw)) / temperature) for z in raw)
+        k = int(raw.argmax())
+        if k < len(known) and p >= licences.PROBABILITY:
+            own = {f"{a} {b}" for a, b in zip(r.words, r.words[1:])}
+            if any(t and own and len(own & set(t)) / min(len(t), len(own)) >= licences.SIMILARITY for t in known[k]):
+                by_hand.add((r.doc_id, r.place, licences.FAMILIES[k]))
+    assert by_hand == {(r.doc_id, r.place, r.family) for r in licences.findings(paragraphs, model, temperature).collect()} and len(by_hand) > 40
+    assert licences.scanned(documents(spark, [])).count() == 0
+
+
+def test_license_families_held_out():
+    """Notices in words of their own, none of them a template."""
+    notices = {
+        "apache-2.0": "Code in this folder is licensed under the Apache License, Version 2.0, see file.",
+        "mit": "All of our code is released under the MIT License by the author.",
+        "gpl-2.0": "The tool is licensed under the GNU General Public License, version 2, from the project.",
+        "isc": "Our code is released under the ISC License, see the page.",
+        "cc-by-sa": "Text on this page is licensed under CC BY-SA 4.0 by the author.",
+        "bsd-2-clause": "Data tools licensed under the 2-clause BSD license of the project.",
+    }
+    known = dict(zip(licences.TEMPLATES, licences._template_pairs()))
+    for family, text in notices.items():
+        w = licences._terms(text)
+        own = {f"{a} {b}" for a, b in zip(w, w[1:])}
+        assert max(len(own & set(t)) / min(len(t), len(own)) for t in known[family]) >= licences.SIMILARITY
 
 
 def test_pipeline_stages(spark, tmp_path):
