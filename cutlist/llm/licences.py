@@ -2,19 +2,19 @@
 
 A paragraph is a line, without the signs that begin a comment line, and joined
 with the next one where that goes on in lower case or in a bracket, or where the
-line is of the length that texts are wrapped at and ends inside of a sentence. Its words and word pairs are hashed to a sparse vector; a multinomial
-logistic regression tells the license families and ``unknown`` apart. It is
+line is of the length that texts are wrapped at and ends inside of a sentence. Those of its words and word pairs that templates have make a sparse vector; a
+multinomial logistic regression tells the license families and ``unknown`` apart. It is
 trained on written variants of the templates and on at most about
 ``TRAIN_PARAGRAPHS`` paragraphs of the corpus, by hash, as unknown. One
 temperature calibrates the probabilities: it is set by a first model on templates
 and corpus paragraphs which that model has not seen. A family other than unknown
-stands only if the paragraph also shares enough word pairs with one of its
-templates.
+stands only if the paragraph also shares enough telling word pairs - those that
+aren't two function words - with one of its templates.
 
 All of the main path is DataFrame functions and Spark's own feature and
-regression stages. A paragraph without any word pair of any template can't be
-confirmed whatever the classifier says, so only the others are scored; that
-changes no result. Paragraphs with a finding are few, so only those are grouped.
+regression stages. A paragraph without any word of a telling pair of any template
+can't be confirmed whatever the classifier says, so only the others are scored;
+that changes no result. Paragraphs with a finding are few, so only those are grouped.
 
 Defined results: null and empty texts have no paragraphs; rows that repeat id
 and text get equal results; lines without words are no paragraphs; texts, lines
@@ -25,13 +25,14 @@ result, with a model of the written variants alone.
 
 from __future__ import annotations
 
+import json
 import random
 import re
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,9 +118,10 @@ TEMPLATES = {
 #: Sentences with the words of licenses that grant none.
 NO_LICENSE = ["The driver lost his license in May.", "A license to fish is sold at the office.", "The restaurant is licensed to sell wine.", "They released the version in general.", "The public may use the software at the library.", "Version 2.0 of the report was released under pressure.", "The general was under attack.", "He asked for permission to copy the work.", "Creative work is common here."]
 FAMILIES = [*TEMPLATES, "unknown"]
+#: Function words of English.
+FUNCTION_WORDS = frozenset("a all also an and any are as at be been but by can do for from has have he her his i if in into is it its may more no not of on one or other our out she so such than that the their there these they this to up was we were which will with you your".split())
 TRAIN_PARAGRAPHS = 4_000
 VARIANTS = 12
-BUCKETS = 1 << 15
 PROBABILITY = 0.5
 #: Share of the smaller side's word pairs that paragraph and template have in common.
 SIMILARITY = 0.5
@@ -137,6 +139,7 @@ def _terms(text: str) -> list[str]:
 
 
 def pairs(words: Column) -> Column:
+    """Adjacent words, each two as one string."""
     return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(
         F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
     )
@@ -148,24 +151,23 @@ def _lines(text: Column) -> Column:
     return F.split(F.regexp_replace(bare, r"\n(?=[^\n])(?:(?=[a-z(])|(?<=(?:^|\n)[^\n]{55,99}[A-Za-z0-9,)]\n))", " "), "\n", -1)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, content (key of the text), place and words of each paragraph that has a word."""
-    rows = docs.select("doc_id", _content(F.col("text")).alias("content"), F.posexplode(_lines(F.col("text"))).alias("place", "line"))
-    return rows.select("doc_id", "content", "place", terms(F.col("line")).alias("words")).filter(F.size("words") > 0)
+def paragraphs(docs: DataFrame, able: bool = False) -> DataFrame:
+    """doc_id, content (key of the text), place and words of each paragraph that has a word; with ``able`` of those alone that a template could confirm."""
+    rows = docs.select("doc_id", _content(F.col("text")).alias("content"), F.posexplode(_lines(F.col("text"))).alias("place", "line")).filter(F.col("line").rlike(r"[\p{L}0-9]"))
+    if able:
+        content = sorted({w for texts in _template_pairs() for t in texts for p in t for w in p.split(" ")} - FUNCTION_WORDS)
+        rows = rows.filter(F.exists(terms(F.col("line")), lambda w: w.isin(*content)))
+    return rows.select("doc_id", "content", "place", terms(F.col("line")).alias("words"))
 
 
 def _content(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    """``rows`` with their n-grams for the model."""
-    return rows.withColumn("grams", F.concat("words", pairs(F.col("words"))))
-
-
 def _local(spark: SparkSession, rows: list[tuple[str, int, bool]]) -> DataFrame:
-    """A small table from literals: text, label, apart."""
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(float(k)).alias("label"), F.lit(a).alias("apart")) for t, k, a in rows])))
+    """A small table from one literal: text, label, apart."""
+    written_ = json.dumps([{"text": t, "label": float(k), "apart": a} for t, k, a in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(written_), "array<struct<text:string,label:double,apart:boolean>>")))
 
 
 def written(seed: int = 3) -> list[tuple[str, int, bool]]:
@@ -198,10 +200,12 @@ def fitted(docs: DataFrame) -> tuple[PipelineModel, float]:
     other = other.filter(~F.lower("text").rlike(r"licen[sc]e|copyright|public domain|all rights|\bcc\b|creative commons|redistribut"))
     rows = _local(spark, written()).union(other).withColumn("words", terms(F.col("text"))).filter(F.size("words") > 0)
     # a few thousand rows at any size, so two tasks are enough to train on them
-    rows = materialize(_vectors(rows).select("grams", "label", "apart").coalesce(2))
-    hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=BUCKETS, binary=True)
-    regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, probabilityCol="", predictionCol="", rawPredictionCol="raw")
-    pipeline = Pipeline(stages=[hashing, regression])
+    rows = materialize(rows.select(F.concat("words", pairs(F.col("words"))).alias("grams"), "label", "apart").coalesce(2))
+    grams = sorted({g for texts in TEMPLATES.values() for t in texts for w in [_terms(t)] for g in [*w, *_pairs(w)]})
+    counts = CountVectorizerModel.from_vocabulary(grams, inputCol="grams", outputCol="features")
+    counts.setBinary(True)
+    regression = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=25, tol=1e-4, probabilityCol="", predictionCol="", rawPredictionCol="raw")
+    pipeline = Pipeline(stages=[counts, regression])
     first = pipeline.fit(rows.filter("not apart").select("grams", "label"))
     held = first.transform(rows.filter("apart").select("grams", "label")).select("label", vector_to_array("raw").alias("raw")).collect()
     temperature = _temperature(np.array([r["raw"] for r in held]), np.array([int(r["label"]) for r in held]))
@@ -220,17 +224,23 @@ def _temperature(raw: np.ndarray, label: np.ndarray) -> float:
     return min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
 
 
+def _pairs(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def _telling(pair: str) -> bool:
+    return not set(pair.split(" ")) <= FUNCTION_WORDS
+
+
 def _template_pairs() -> list[list[list[str]]]:
-    """Word pairs of each template, by family."""
-    words = [[_terms(t) for t in texts] for texts in TEMPLATES.values()]
-    return [[sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for w in texts] for texts in words]
+    """Telling word pairs of each template, by family."""
+    return [[sorted(filter(_telling, set(_pairs(_terms(t))))) for t in texts] for texts in TEMPLATES.values()]
 
 
 def findings(rows: DataFrame, model: PipelineModel, temperature: float) -> DataFrame:
     """Paragraphs with a confirmed family: doc_id, content, place, family, probability, similarity."""
     known = _template_pairs()
-    any_pair = F.array(*[F.lit(p) for p in sorted({p for texts in known for t in texts for p in t})])
-    rows = rows.withColumn("pairs", pairs(F.col("words"))).filter(F.arrays_overlap("pairs", any_pair))
+    rows = rows.withColumn("pairs", pairs(F.col("words")))
     raw = vector_to_array("raw")
     scored = model.transform(rows.withColumn("grams", F.concat("words", "pairs"))).select("doc_id", "content", "place", "pairs", raw.alias("raw"))
     top = F.array_max("raw")
@@ -238,7 +248,7 @@ def findings(rows: DataFrame, model: PipelineModel, temperature: float) -> DataF
     likely = F.lit(1.0) / F.aggregate("raw", F.lit(0.0), lambda s, z: s + F.exp((z - top) / temperature))
     named = scored.withColumn("k", best).filter(F.col("k") < len(TEMPLATES)).withColumn("probability", likely).filter(F.col("probability") >= PROBABILITY)
     templates = F.array(*[F.array(*[F.array(*[F.lit(p) for p in t]) for t in texts]) for texts in known])
-    own = named.withColumn("pairs", F.array_distinct("pairs"))
+    own = named.withColumn("pairs", F.filter(F.array_distinct("pairs"), lambda p: ~F.forall(F.split(p, " "), lambda w: w.isin(*sorted(FUNCTION_WORDS)))))
     shared = F.transform(F.element_at(templates, F.col("k") + 1), lambda t: F.size(F.array_intersect(t, "pairs")) / F.greatest(F.lit(1), F.least(F.size(t), F.size("pairs"))))
     own = own.withColumn("similarity", F.array_max(shared)).filter(F.col("similarity") >= SIMILARITY)
     return own.select("doc_id", "content", "place", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("k") + 1).alias("family"), "probability", "similarity")
@@ -247,7 +257,8 @@ def findings(rows: DataFrame, model: PipelineModel, temperature: float) -> DataF
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_licenses, families, probability, similarity, licenses for each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    found = findings(paragraphs(docs), *fitted(docs))
+    # written, so that the words of a paragraph aren't taken anew for each use of them
+    found = findings(materialize(paragraphs(docs, able=True)), *fitted(docs))
     # a set, as rows may repeat id and text
     each = F.array_sort(F.collect_set(F.struct("place", "family", "probability", "similarity")))
     found = found.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_content")).agg(each.alias("licenses"))
