@@ -19,25 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-#: Keys that more than one in so many rows bear are hot. There can't be more of them than this, whatever the data.
-HOT = 10_000
+#: A key is hot if it has more than one in so many of all rows. There can't be more hot keys than this, whatever the data.
+HOT = 1_000
 
 
-def join_counted(rows: DataFrame, table: DataFrame, on: dict[str, str], count: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``table`` beside its keys and ``count``; null where it has no row for them.
+def join_counted(rows: DataFrame, table: DataFrame, on: dict[str, str], count: str, total: int, how: str = "left", by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with the columns of ``table`` beside its keys and ``count``; null where it has no row for them (or, ``inner``, without these).
 
     ``table`` has one row for each key, with the number of rows that bear it;
     ``total`` is the number of all rows. ``on`` maps columns of ``rows`` to the
-    keys; nulls are equal. A key may hold a third of all rows: those above a
-    share of one in ``HOT`` are sent to all executors, and there are fewer than
-    ``HOT`` of them; their rows are spread over the tasks of the join that the
-    other keys take.
+    keys; nulls are equal. A key may hold a third of all rows: a hot one is
+    repeated in the table, once for each share of one in ``HOT`` of the rows, and
+    its rows are dealt to these by a hash of ``by``, or of all columns. That adds at most ``HOT`` rows to the
+    table, and only the names of hot keys, fewer than ``HOT``, are sent to all
+    executors.
     """
-    hot = F.col(count) * F.lit(HOT) > F.lit(total)
+    shares = (F.floor(F.col(count) * HOT / F.lit(max(1, total))) + 1).cast("int")
     values = [c for c in table.columns if c not in on.values() and c != count]
 
-    def side(part: DataFrame, mark: str) -> DataFrame:
-        return part.select(*[F.col(k).alias(f"{mark}{i}") for i, k in enumerate(on.values())], F.struct(F.lit(True).alias("_"), *values).alias(f"{mark}v"))
+    def keys(mark: str) -> list[Column]:
+        return [F.col(k).alias(f"{mark}{i}") for i, k in enumerate(on.values())]
 
     def same(mark: str) -> Column:
         out = F.lit(True)
@@ -45,12 +46,12 @@ def join_counted(rows: DataFrame, table: DataFrame, on: dict[str, str], count: s
             out = out & F.col(c).eqNullSafe(F.col(f"{mark}{i}"))
         return out
 
-    first = rows.join(F.broadcast(side(table.filter(hot), "_h")), same("_h"), "left")
-    spread = F.when(F.col("_hv").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(4096)) + 1).otherwise(F.lit(0).cast("long"))
-    rest = side(table.filter(~hot), "_c").withColumn("_cs", F.lit(0).cast("long"))
-    both = first.withColumn("_s", spread).join(rest, same("_c") & (F.col("_s") == F.col("_cs")), "left")
-    found = F.coalesce("_hv", "_cv")
-    return both.select(*[F.col(f"`{c}`") for c in rows.columns], *[found[v].alias(v) for v in values])
+    hot = table.withColumn("_n", shares).filter("_n > 1").select(*keys("_h"), "_n")
+    dealt = rows.join(F.broadcast(hot), same("_h"), "left")
+    dealt = dealt.withColumn("_s", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(*(by or rows.columns)), F.col("_n"))).otherwise(F.lit(0)).cast("int"))
+    each = table.select(*keys("_k"), F.struct(F.lit(True).alias("_"), *values).alias("_v"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("_t"))
+    both = dealt.join(each, same("_k") & (F.col("_s") == F.col("_t")), how)
+    return both.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col("_v")[v].alias(v) for v in values])
 
 
 def wrapped(docs: DataFrame, *columns: str) -> DataFrame:

@@ -596,7 +596,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     found, total = wrappers(pages)
     rules = materialize(found.select("host", "of", "form", "pages", "words").mapInArrow(_rules, f"_host string, of bigint, {_RULE}"))
-    joined = join_counted(pages.withColumn("host", host(F.col("url"))), rules, {"host": "_host"}, "of", total).drop("host")
+    joined = join_counted(pages.withColumn("host", host(F.col("url"))), rules, {"host": "_host"}, "of", total, by=("page_id", "url")).drop("host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[tuple, Rule] = {}

@@ -11,17 +11,24 @@
 3. In each bucket the class that meets most others is its centre. All members
    are checked against the centre on full sets: work and rows grow with the
    bucket, not with its square.
-4. Members outside their centre's component are then tested against the other
-   members of that centre. What two sets can share is bounded by what each
-   shares with the centre, and by those of its other shingles that a further
-   member has; only pairs that this bound leaves open are checked on full sets.
+4. Members outside their centre's component are then held against the other
+   members of that centre. Similar sets share four fifths of each; so either both
+   have so much in common with the centre already, or they share shingles that the
+   centre lacks. The latter are found by the rarest of these shingles, as many as
+   must hold a common one; unlike texts that share one block with the centre
+   never meet. The former are compared by bounds, dealt to many tasks. Pairs that
+   the bounds leave open are checked on full sets.
 5. Links are joined to components by rounds of contraction.
 
+A class, a bucket, a centre or a component may hold a third of all rows: joins on
+these go by ``join_counted``.
+
 Defined results: null, empty and wordless texts have no shingles, are linked
 with nothing and form their own component; a text of fewer than ``k`` words has
-its whole sequence as its one shingle; rows that repeat an id keep their own set
-and may be in several components; rows with a null id take part, and show the
-smallest non-null id of their component.
+its whole sequence as its one shingle; texts of any length are taken whole; rows
+that repeat an id keep their own set and may be in several components; rows with
+a null id take part, and show the smallest non-null id of their component; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, materialize, words, wrapped
+from .common import join_counted, let, lower_ascii, materialize, words, wrapped
 
 REGISTERS = 128
 BAND_ROWS = 4
@@ -41,10 +48,10 @@ BAND_ROWS = 4
 SIMILARITY = 80
 #: Shingles that one step of the signature code holds (about 200 bytes each).
 CHUNK = 200_000
-#: Up to so many class ids are sent to all executors to pick the texts to compare (16 bytes each).
-BROADCAST_IDS = 500_000
 #: Cells of the histograms that bound what two sets can share.
 CELLS = 512
+#: Open members of one centre that one task holds against the others at a time.
+MEMBERS = 200
 
 
 def shingles(text: Column, k: int) -> Column:
@@ -147,20 +154,23 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     moves: list[DataFrame] = []
-    while not moves or not edges.isEmpty():
+    while (n := edges.count()) or not moves:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         turn = F.lit(len(moves))
-        first = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn).alias("h"), F.col("b").alias("to"))).alias("f"))
+        first = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn).alias("h"), F.col("b").alias("to"))).alias("f"), F.count("*").alias("links"))
         to = F.when(F.col("f.h") < F.xxhash64("a", turn), F.col("f.to")).otherwise(F.col("a"))
-        move = materialize(first.select(F.col("a").alias("node"), to.alias("label")))
-        moves.append(move)
-        x, y = (move.select(F.col("node").alias(c), F.col("label").alias(f"{c}2")) for c in "ab")
-        moved = edges.join(x, "a").join(y, "b").filter("a2 <> b2")
+        move = materialize(first.select(F.col("a").alias("node"), to.alias("label"), "links"))
+        moves.append(move.select("node", "label"))
+        moved = edges
+        for c in "ab":
+            moved = join_counted(moved, move.withColumnRenamed("label", f"{c}2"), {c: "node"}, "links", n)
+        moved = moved.filter("a2 <> b2")
         edges = materialize(moved.select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct())
     label = moves[0]
     for move in moves[1:]:
-        then = move.select(F.col("node").alias("label"), F.col("label").alias("then"))
-        label = label.join(then, "label", "left").select("node", F.coalesce("then", "label").alias("label"))
+        bears = label.groupBy("label").agg(F.count("*").alias("n"))
+        then = move.join(bears, move["node"] == bears["label"]).select("node", move["label"].alias("then"), "n")
+        label = join_counted(label, then, {"label": "node"}, "n", label.count()).select("node", F.coalesce("then", "label").alias("label"))
     return materialize(label) if len(moves) > 1 else label
 
 
@@ -169,8 +179,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) ->
     need = materialize(classes.select("cid", "first_id", "k1", "k2").join(wanted, "cid", "left_semi"))
     ids = need.select(F.col("first_id").alias("doc_id")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("i"))
-    ids = ids.withColumnRenamed("doc_id", "i")
-    texts = docs.join(F.broadcast(ids) if need.count() <= BROADCAST_IDS else ids, same, "left_semi")
+    texts = docs.join(ids.withColumnRenamed("doc_id", "i"), same, "left_semi")
     sets = _keyed(texts, k).select("sh", "k1", "k2").join(need.select("cid", "k1", "k2"), ["k1", "k2"])
     return materialize(sets.select("cid", "sh").dropDuplicates(["cid"]))
 
@@ -182,16 +191,17 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.diff(sets.offsets.to_numpy())
         cell = _mixed(sets.flatten().to_numpy().astype(np.uint64), 99) % np.uint64(CELLS)
         at = np.repeat(np.arange(len(lengths)), lengths) * CELLS + cell.astype(np.int64)
-        counts = np.bincount(at, minlength=len(lengths) * CELLS).astype(np.int16)
+        counts = np.bincount(at, minlength=len(lengths) * CELLS).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * CELLS), pa.array(counts))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["cid", "cells"])
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a, b with na, nb, o (size of the intersection) and own (shingles of a that b hasn't)."""
+    """Pairs a, b (written) with na, nb, o (size of the intersection) and own (shingles of a that b hasn't)."""
+    met = pairs.groupBy(F.col("b").alias("cid")).agg(F.count("*").alias("n"))
     x = sets.select(F.col("cid").alias("a"), F.col("sh").alias("xa"))
-    y = sets.select(F.col("cid").alias("b"), F.col("sh").alias("xb"))
-    both = pairs.join(x, "a").join(y, "b")
+    y = sets.join(met, "cid").select("cid", F.col("sh").alias("xb"), "n")
+    both = join_counted(pairs.join(x, "a"), y, {"b": "cid"}, "n", pairs.count(), "inner")
     own = F.array_except("xa", "xb")
     out = both.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), own.alias("own"))
     return out.withColumn("o", F.col("na") - F.size("own"))
@@ -207,59 +217,93 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     schema = "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
     rows = materialize(_keyed(docs, k).mapInArrow(_with_bands, schema))
-    first = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
+    first = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     classes = materialize(first.withColumn("cid", F.monotonically_increasing_id()))
 
     band = classes.select("cid", F.explode("bands").alias("bkey"))
     shared = band.groupBy("bkey").agg(F.count("*").alias("size")).filter("size > 1")
-    members = materialize(band.join(shared, "bkey"))
+    n = (REGISTERS // BAND_ROWS) * classes.count()
+    members = materialize(join_counted(band, shared.withColumn("held", F.col("size")), {"bkey": "bkey"}, "held", n, "inner"))
     score = members.groupBy("cid").agg(F.sum("size").alias("score"))
-    centre = members.join(score, "cid").groupBy("bkey").agg(F.max(F.struct("score", "cid"))["cid"].alias("c"))
-    pairs = members.join(centre, "bkey").filter("cid <> c").select(F.col("cid").alias("a"), F.col("c").alias("b")).distinct()
+    scored = members.join(score, "cid")
+    centre = scored.groupBy("bkey").agg(F.max(F.struct("score", "cid"))["cid"].alias("c"), F.count("*").alias("held"))
+    pairs = join_counted(members.select("cid", "bkey"), centre, {"bkey": "bkey"}, "held", members.count(), "inner")
+    pairs = pairs.filter("cid <> c").select(F.col("cid").alias("a"), F.col("c").alias("b")).distinct()
     pairs = materialize(pairs)
     sets = _sets_of(docs, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), k)
 
     stars = materialize(_compared(pairs, sets))
     edges = stars.filter(_linked(F.col("o"), F.col("na") + F.col("nb"))).select("a", "b")
     label = components(edges)
-    rest = materialize(_compared(_open_pairs(stars, label, sets), sets).drop("own"))
+    rest = materialize(_compared(materialize(_open_pairs(stars, label, sets)), sets).drop("own"))
     further = rest.filter(_linked(F.col("o"), F.col("na") + F.col("nb"))).select("a", "b")
     label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(further))
 
-    named = classes.select("k1", "k2", "cid", "first_id").join(label, F.col("cid") == F.col("node"), "left")
-    named = named.withColumn("label", F.coalesce("label", "cid")).drop("node")
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of = named.join(least, "label").select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "component_id")
-    out = rows.select("doc_id", "n", "k1", "k2").join(of, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & (F.col("n") > 0), "left")
+    named = classes.select("k1", "k2", "cid", "first_id", "copies").join(label, F.col("cid") == F.col("node"), "left")
+    named = materialize(named.withColumn("label", F.coalesce("label", "cid")).drop("node"))
+    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("held"))
+    of = join_counted(named, least, {"label": "label"}, "held", named.count()).select("k1", "k2", F.lit(True).alias("some"), "component_id", "copies")
+    every = rows.select("doc_id", "n", "k1", "k2", (F.col("n") > 0).alias("any"))
+    out = join_counted(every, of, {"k1": "k1", "k2": "k2", "any": "some"}, "copies", rows.count())
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _least_shared(n: Column) -> Column:
+    """What a set of ``n`` shares at least with any set that it is linked to."""
+    return F.ceil(n * SIMILARITY / 100).cast("int")
+
+
 def _open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs a, b of one centre, in different components, that the bounds do not rule out.
 
-    The first bound is cheap. The second sums, over the cells of both
-    histograms, the lesser count: no pair shares more than that.
+    ``o`` of a member is what it shares with the centre, ``own`` what the centre
+    lacks, ``must`` how many of its own shingles a linked set shares with it at
+    least.
     """
+    met = stars.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"))
     of = label.select("node", "label")
-    named = stars.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-    named = named.join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    named = named.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).withColumnRenamed("b", "c")
-    out = named.filter("la <> lb").select("c").distinct()
-    named = materialize(named.join(out, "c", "left_semi"))
-    own = named.select("c", "a", F.explode("own").alias("e"))
-    again = own.groupBy("c", "e").agg(F.count("*").alias("n")).filter("n > 1").select("c", "e")
-    s = own.join(again, ["c", "e"]).groupBy("c", "a").agg(F.count("*").cast("int").alias("s"))
-    cells = sets.select("cid", "sh").mapInArrow(_histograms, "cid bigint, cells array<smallint>").withColumnRenamed("cid", "a")
-    held = named.drop("own").join(s, ["c", "a"], "left").fillna(0, ["s"]).join(cells, "a")
-    held = materialize(held.select("c", "a", "na", "la", "lb", "o", "s", "cells"))
-    y = held.select("c", *[F.col(x).alias(f"y{x}") for x in ("a", "na", "la", "lb", "o", "s", "cells")])
-    most = F.least(F.col("o"), F.col("yo")) + F.least(F.col("s"), F.col("ys"))
-    once = (F.col("yla") == F.col("ylb")) | (F.col("a") < F.col("ya"))
+    named = stars.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").withColumnRenamed("b", "c")
+    named = join_counted(named, met.join(of, "node", "left").select("node", F.col("label").alias("lc"), "n"), {"c": "node"}, "n", stars.count())
+    named = named.withColumn("la", F.coalesce("la", "a")).withColumn("lc", F.coalesce("lc", "c"))
+    named = materialize(named.withColumn("open", F.col("la") != F.col("lc")).withColumn("must", _least_shared(F.col("na")) - F.col("o")).drop("nb", "lc"))
+    centres = named.groupBy("c").agg(F.count("*").alias("held"), F.count_if("open").alias("n_open")).filter("n_open > 0")
+    named = materialize(join_counted(named, centres, {"c": "c"}, "held", named.count(), "inner"))
+    cells = materialize(sets.select("cid", "sh").mapInArrow(_histograms, "cid bigint, cells array<int>"))
+
+    # those that must share shingles which the centre lacks meet by the rarest of these
+    own = materialize(named.select("c", "a", F.explode("own").alias("e")))
+    again = own.groupBy("c", "e").agg(F.count("*").alias("n")).filter("n > 1")
+    common = join_counted(own, again.withColumn("often", F.col("n")), {"c": "c", "e": "e"}, "n", own.count(), "inner")
+    by = Window.partitionBy("c", "a")
+    common = common.withColumn("place", F.row_number().over(by.orderBy("often", "e"))).withColumn("s", F.count("*").over(by).cast("int"))
+    narrow = named.select("c", "a", "na", "la", "o", "open", "must", F.size("own").alias("n_own"))
+    first = common.join(narrow, ["c", "a"]).filter(F.col("n_own") - F.col("s") + F.col("place") <= F.col("n_own") - F.greatest("must", F.lit(1)) + 1)
+    first = materialize(first.select("c", "e", "a", "na", "la", "o", "s", "open", "must"))
+    other = first.select("c", "e", *[F.col(x).alias(f"y{x}") for x in ("a", "na", "la", "o", "s", "open", "must")])
+    apart = (F.col("la") != F.col("yla")) & (F.col("open") | F.col("yopen"))
     n = F.col("na") + F.col("yna")
-    shared = F.aggregate(F.zip_with("cells", "ycells", lambda u, v: F.least(u, v).cast("int")), F.lit(0), lambda t, v: t + v)
-    open_ = (F.col("la") != F.col("yla")) & once & _linked(most, n) & _linked(shared, n)
-    return held.filter("la <> lb").join(y, (held["c"] == y["c"]) & open_).select(F.greatest("a", "ya").alias("a"), F.least("a", "ya").alias("b")).distinct()
+    most = F.least(F.col("o"), F.col("yo")) + F.least(F.col("s"), F.col("ys"))
+    met = first.join(other, ["c", "e"]).filter(apart & (F.col("a") < F.col("ya")) & ((F.col("must") > 0) | (F.col("ymust") > 0)) & _linked(most, n))
+    met = met.select("a", "na", "ya", "yna").distinct()
+    met = met.join(cells.select(F.col("cid").alias("a"), F.col("cells").alias("x")), "a").join(cells.select(F.col("cid").alias("ya"), F.col("cells").alias("y")), "ya")
+    met = met.filter(_linked(_shared("x", "y"), n)).select("a", "ya")
+
+    # those that may share enough of the centre alone: the open ones, some at a time, against all
+    shared = common.groupBy("c", "a").agg(F.count("*").cast("int").alias("s"))
+    near = named.filter("must <= 0").join(shared, ["c", "a"], "left").fillna(0, ["s"]).join(cells.withColumnRenamed("cid", "a"), "a")
+    near = materialize(near.select("c", "a", "na", "la", "o", "s", "open", "cells", (F.floor(F.col("n_open") / MEMBERS) + 1).cast("int").alias("parts")))
+    left = near.filter("open").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    right = near.select(F.col("c").alias("yc"), *[F.col(x).alias(f"y{x}") for x in ("a", "na", "la", "o", "s", "open", "cells")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("ypart"))
+    once = ~F.col("yopen") | (F.col("a") < F.col("ya"))
+    held = left.join(right, (F.col("c") == F.col("yc")) & (F.col("part") == F.col("ypart")) & (F.col("la") != F.col("yla")) & once & _linked(most, n) & _linked(_shared("cells", "ycells"), n))
+    both = met.union(held.select("a", "ya"))
+    return both.select(F.greatest("a", "ya").alias("a"), F.least("a", "ya").alias("b")).distinct()
+
+
+def _shared(x: str, y: str) -> Column:
+    """What two sets share at most: over the cells of both histograms, the sum of the lesser count."""
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.least(u, v)), F.lit(0), lambda t, v: t + v)
 
 
 def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:

@@ -12,8 +12,9 @@ read; no other window could yield a span. Tagged spans that overlap a base match
 are dropped, as base matches stay as they are.
 
 Defined results: null and empty texts have no spans; rows are judged one by one,
-so repeated rows get equal results; a table without any match trains on written
-examples alone.
+so repeated rows get equal results; texts of any length are read whole, window by
+window; spans at one place go in the order of their kinds; a table without any
+match, or without rows, trains on written examples alone.
 """
 
 from __future__ import annotations
@@ -250,6 +251,8 @@ def _plausible(kind: int, text: str, a: int, b: int) -> bool:
     if kind == 1:
         parts = s.split(".")
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == 2 and not luhn(d):
+        return False
     return (13 <= len(d) <= 19 if kind == 2 else 7 <= len(d) <= 15) and not re.search(r"[^0-9\x20().+/-]", s)
 
 

@@ -13,8 +13,9 @@ Positions are code points: a text is split at the matches, and the lengths of
 the pieces and matches are summed within the blob.
 
 Defined results: null text is the empty blob; blobs without findings are in the
-ledger too; repeated rows get equal results; an empty table leaves the ledger as
-it was.
+ledger too; repeated rows get equal results; texts and tokens of any length are
+searched whole; of findings at one place the kinds go in their order; an empty
+table leaves the ledger as it was.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sha256_hex, shared_dir
+from .common import join_counted, materialize, sha256_hex, shared_dir
 
 
 class Rule(NamedTuple):
@@ -103,18 +104,30 @@ def _searched(blobs: DataFrame) -> DataFrame:
     return placed.groupBy("blob").agg(F.first("todo").alias("rules"), F.array_sort(F.collect_list(finding)).cast(FINDING).alias("findings"))
 
 
+def unseen(versions: DataFrame, known: DataFrame | None) -> DataFrame:
+    """blob, todo: the distinct blobs of ``versions`` (blob) with the rule versions that the ledger lacks for them."""
+    blobs = versions.select("blob").distinct()
+    every = F.array(*[F.lit(r.key) for r in RULES])
+    if known is None:
+        return blobs.withColumn("todo", every)
+    seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+    left = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
+    return blobs.join(seen, "blob", "left").select("blob", left.alias("todo")).filter(F.size("todo") > 0)
+
+
 def scan(versions: DataFrame, path: str) -> DataFrame:
-    """Add the unseen blobs of ``versions`` (text) to the ledger at ``path``; returns the ledger."""
+    """Add the unseen blobs of ``versions`` (text) to the ledger at ``path``; returns the ledger.
+
+    What is unseen is told by addresses alone; only texts of unseen blobs go on,
+    one for each.
+    """
     spark = versions.sparkSession
     known = ledger(spark, path)
-    every = F.array(*[F.lit(r.key) for r in RULES])
-    blobs = versions.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", _blob(F.col("text"))).dropDuplicates(["blob"])
+    texts = versions.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", _blob(F.col("text")))
     if known is None:
-        todo = blobs.withColumn("todo", every)
+        todo = texts.dropDuplicates(["blob"]).withColumn("todo", F.array(*[F.lit(r.key) for r in RULES]))
     else:
-        seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen")
-        todo = todo.filter(F.size("todo") > 0)
+        todo = texts.join(materialize(unseen(texts, known)), "blob").dropDuplicates(["blob"])
     _searched(todo).write.mode("append").parquet(path)
     return ledger(spark, path)
 
@@ -131,9 +144,11 @@ def findings(known: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, counts and digest of base findings, and all findings, for each row of ``docs`` (doc_id, text)."""
-    known = findings(scan(docs, path)).withColumnRenamed("blob", "_blob")
-    paths = docs.select("doc_id", _blob(F.coalesce("text", F.lit(""))).alias("blob"))
-    found = paths.join(known, F.col("blob") == F.col("_blob"), "left")
+    paths = materialize(docs.select("doc_id", _blob(F.coalesce("text", F.lit(""))).alias("blob")))
+    bears = paths.groupBy("blob").agg(F.count("*").alias("paths"))
+    known = materialize(findings(scan(docs, path)).join(bears, "blob"))
+    # a blob may be that of a third of all paths
+    found = join_counted(paths, known, {"blob": "blob"}, "paths", paths.count())
     every = F.coalesce("findings", F.expr(f"cast(array() as {FINDING})"))
     kinds = F.array(*[F.lit(r.kind) for r in RULES])
 

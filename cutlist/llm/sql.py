@@ -53,13 +53,13 @@ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 OP3 = _secrets()
 
 #: Sources at their limit come first by size over weight, so the level is that of the first place whose own source is not above it.
-OP4 = f"""with d as (select row_number() over () r, doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) as bigint) size from documents),
+OP4 = f"""with d as (select row_number() over () r, doc_id, coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) draw, source, cast(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) as bigint) size from documents),
 s as (select *, [5, 2, 1][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as bigint)] w from (select source, cast(sum(size) as bigint) z from d group by 1)),
 o as (select *, row_number() over by_ratio i, cast(sum(z) over by_ratio as bigint) - z full_, cast(sum(w) over () - sum(w) over by_ratio + w as bigint) free, cast(sum(z) over () as bigint) total from s window by_ratio as (order by z / w, source nulls last rows between unbounded preceding and current row)),
 l as (select *, (1.5e0 * total - 2 * full_) / free level from o),
 p as (select source, z, least(w * (select arg_min(level, i) from l where w * level <= 2 * z), 2e0 * z) target from s),
 q as (select *, case when z > 0 then target / z else 0e0 end rate from p),
-x as (select r, doc_id, size, q.*, seed, cast('0x' || substr(md5(seed || ':' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) / 4503599627370496e0 < rate - floor(rate) more from d join q on d.source is not distinct from q.source, (select unnest(range(16)) seed)),
+x as (select r, doc_id, size, q.*, seed, cast('0x' || substr(md5(seed || ':' || draw), 1, 13) as bigint) / 4503599627370496e0 < rate - floor(rate) more from d join q on d.source is not distinct from q.source, (select unnest(range(16)) seed)),
 b as (select source, arg_min(seed, (off, seed)) seed from (select source, seed, abs(any_value(floor(rate) * z) + sum(case when more then size else 0 end) - any_value(target)) off from x group by 1, 2) group by 1)
 select doc_id, size, z source_size, target, cast(size * (floor(rate) + more::int) as bigint) taken from x join b on x.source is not distinct from b.source and x.seed = b.seed"""
 

@@ -14,7 +14,9 @@ on its words alone.
 
 Defined results: null and empty texts get the score of the bias; labels that are
 null, or whose id is, are left out; an id with several labels counts as toxic if
-one says so; without any label of either class the score is 0.
+one says so; with labels of one class alone every score is near that class, and
+without any near 0; texts of any length are read whole; repeated rows get equal
+scores; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -230,7 +232,7 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
     texts = [t for t, _ in rows]
     toxic = np.array([bool(y) for _, y in rows], bool)
     if not len(rows) or toxic.all() or not toxic.any():
-        return Model({}, -30.0)
+        return Model({}, 30.0 if len(rows) and toxic.all() else -30.0)
     listed, chosen = listed_tokens(texts, toxic)
     chosen = sorted({*chosen, *INSULTS})
     at = {w: j for j, w in enumerate(chosen)}
@@ -253,8 +255,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """
     usable = labels.select("doc_id", "toxic").dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = usable.count()
-    share = min(1.0, TRAIN_ROWS / max(1, n))
-    picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
+    bound = int(min(1.0, TRAIN_ROWS / max(1, n)) * (1 << 63))
+    picked = usable.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= F.lit(min(bound, (1 << 63) - 1)))
     # TRAIN_ROWS bounds what is sent
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
     return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])

@@ -11,7 +11,8 @@ payloads may hold any text.
 Defined results: a null html is an empty payload; a null url is written as
 ``urn:x:none``; rows that share both the largest id and the payload are all
 responses, with one of them as target; in a group whose ids are all null every
-row is a response; an empty table gives an empty archive folder.
+row is a response; an empty table gives an empty archive folder and reads as an
+empty table; a page of any size is one record.
 """
 
 from __future__ import annotations
@@ -20,36 +21,51 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 
 REVISIT_BYTES = 1000
-#: Records of one archive file; with pages of some KB a file stays far below what one task can hold.
-FILE_RECORDS = 4000
-#: Up to so many repeated digests are sent to all executors (100 bytes each), so that payloads stay where they are.
-BROADCAST_DIGESTS = 200_000
+#: Bytes of an archive file, which one task reads whole, and of the smallest class of payloads.
+FILE_BYTES = 128 << 20
+FIRST_CLASS = 32 << 10
 #: Fixed value: the profile of revisits with equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
 
 
-def _lines(*parts) -> F.Column:
+def _lines(*parts) -> Column:
     return F.concat(*[x for p in parts for x in ((F.lit(p) if isinstance(p, str) else p), F.lit(_END))])
 
 
-def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One column, ``record``: a WARC record with fresh headers for each row of ``pages`` (page_id, url, html)."""
+def _rows(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.coalesce("url", F.lit("urn:x:none")).alias("url"), html.alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    heads = rows.select("page_id", "digest").filter(F.col("bytes") >= REVISIT_BYTES)
-    original = heads.groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("_to"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    original = materialize(original)
-    if original.count() <= BROADCAST_DIGESTS:
-        original = F.broadcast(original)  # else the payloads are shuffled to them
-    rows = rows.join(original, (F.col("digest") == F.col("_digest")) & (F.col("bytes") >= REVISIT_BYTES), "left")
+    return rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
+
+
+def headers(pages: DataFrame) -> DataFrame:
+    """page_id, digest, bytes of each row of ``pages``, written: what is known of it without its payload."""
+    return materialize(_rows(pages).select("page_id", "digest", "bytes"))
+
+
+def originals(heads: DataFrame) -> DataFrame:
+    """_digest, _to, _n, written: for each payload that several headers have, the id of its response and their number."""
+    known = heads.filter(F.col("bytes") >= REVISIT_BYTES).groupBy(F.col("digest").alias("_digest"))
+    return materialize(known.agg(F.max("page_id").alias("_to"), F.count("*").alias("_n")).filter("_n > 1"))
+
+
+def records(pages: DataFrame, original: DataFrame, total: int, date: str | None = None) -> DataFrame:
+    """One column, ``record``: a WARC record with fresh headers for each row of ``pages`` (page_id, url, html).
+
+    ``original`` is that of ``originals`` and ``total`` the number of all pages.
+    A payload may be that of a third of all pages. ``date`` is that of the
+    records; the present time, if none is given.
+    """
+    rows = join_counted(_rows(pages), original, {"digest": "_digest"}, "_n", total, by=("page_id", "url"))
+    rows = rows.withColumn("_to", F.when(F.col("bytes") >= REVISIT_BYTES, F.col("_to")))
+    when = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_to"))
     uri = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7F]", "%20")
     http = _lines("HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", F.concat(F.lit("Content-Length: "), F.col("bytes").cast("string")), "")
@@ -60,7 +76,7 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
             "WARC/1.1",
             F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
             F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">")),
-            f"WARC-Date: {date}",
+            F.concat(F.lit("WARC-Date: "), when),
             F.concat(F.lit("WARC-Target-URI: "), uri),
             F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         ),
@@ -71,12 +87,27 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> str:
-    """Write the records of ``pages`` as archive files into the folder ``path``."""
-    out = records(pages).write.option("lineSep", _END).option("maxRecordsPerFile", FILE_RECORDS)
-    out.text(path)
+    """Write the records of ``pages`` as archive files into folders of ``path``.
+
+    Each folder holds pages of one class of size, and its files so many records
+    that none has more than about ``FILE_BYTES``, but for a single record that has.
+    """
+    heads = headers(pages)
+    original, total = originals(heads), heads.count()
+    classes = [r["c"] for r in heads.select(_class(F.col("bytes")).alias("c")).distinct().collect()]  # a handful
+    for c in sorted(classes) or [0]:
+        some = pages.filter(_class(F.octet_length(F.coalesce("html", F.lit(""))).cast("long")) == c)
+        limit = max(1, FILE_BYTES // (FIRST_CLASS << (4 * c)))
+        out = records(some, original, total).write.option("lineSep", _END).option("maxRecordsPerFile", limit)
+        out.text(f"{path}/size={c}")
     return path
 
 
+def _class(size: Column) -> Column:
+    """0 for payloads of up to ``FIRST_CLASS`` bytes, 1 for up to 16 times as many, and so on."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)) / F.lit(FIRST_CLASS)) / 4)).cast("int")
+
+
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
 SCHEMA = "page_id bigint, record_type string, payload_digest string, http_bytes bigint, body_sha1 string, body_bytes bigint, refers bigint"
 
@@ -119,7 +150,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 names = [c.split()[0] for c in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
     return files.select("content").mapInArrow(run, SCHEMA)
 
 
@@ -130,15 +161,16 @@ def resolved(spark: SparkSession, path: str) -> DataFrame:
     from the response that it is joined to by digest and id; one whose response
     is not in the archives keeps what its own headers say.
     """
-    rows = read_archives(spark, path)
-    responses = rows.filter("record_type = 'response'").groupBy("page_id", "body_sha1").agg(F.max("body_bytes").alias("_bytes"))
-    responses = responses.withColumnsRenamed({"page_id": "_page", "body_sha1": "_sha1"})
-    joined = rows.join(responses, (F.col("record_type") == "revisit") & (F.col("refers") == F.col("_page")) & (F.col("payload_digest") == F.col("_sha1")), "left")
+    rows = materialize(read_archives(spark, path))
+    known = rows.filter("record_type = 'response'").groupBy(F.col("page_id").alias("_page"), F.col("body_sha1").alias("_sha1")).agg(F.max("body_bytes").alias("_bytes"))
+    asked = rows.filter("record_type = 'revisit'").groupBy(F.col("refers").alias("_page"), F.col("payload_digest").alias("_sha1")).agg(F.count("*").alias("_n"))
+    known = materialize(asked.join(known, ["_page", "_sha1"]).withColumn("_digest", F.col("_sha1")))
+    joined = join_counted(rows, known, {"refers": "_page", "payload_digest": "_sha1"}, "_n", rows.count())
     own = F.col("record_type") == "response"
     return joined.select(
         "page_id",
         F.when(own, F.col("body_bytes")).otherwise(F.coalesce("_bytes", "http_bytes")).alias("payload_bytes"),
-        F.when(own, F.col("body_sha1")).otherwise(F.coalesce("_sha1", "payload_digest")).alias("payload_digest"),
+        F.when(own, F.col("body_sha1")).otherwise(F.coalesce("_digest", "payload_digest")).alias("payload_digest"),
         "record_type",
         F.col("refers").alias("refers_to"),
     )

@@ -170,6 +170,27 @@ def test_decontamination_matches_brute_force(spark):
     assert decontam.judged(documents(spark, texts), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_longest_matches_and_repeated_words(spark):
+    words = [f"w{i}" for i in range(60)]
+    items = [(1, " ".join(words[:30])), (2, " ".join(words[5:50])), (3, "same " * 2_000), (4, "w7 w8 w9"), (5, None)]
+    windows = decontam.Windows(items)
+    texts = ["x " + " ".join(words[:40]) + " y " + " ".join(words[20:35]), "same " * 20_000, "w6 w7 w8 w9 z", None, ""]
+    found = list(decontam._marked(windows, texts))
+    assert [f[0] for f in found] == [57, 20_000, 5, 0, 0]
+    assert found[0][1] == [{"start": 1, "end": 41}, {"start": 42, "end": 57}] and found[0][2] == [1, 2, 4]
+    at = [(m["start"], m["end"], m["item_id"], m["item_start"]) for m in found[0][3]]
+    assert (1, 31, 1, 0) in at and (42, 57, 2, 15) in at and (8, 11, 4, 0) in at
+    assert any(a <= 22 and b == 41 and i == 2 for a, b, i, _ in at)
+    assert found[1][2] == [3] and found[1][1] == [{"start": 0, "end": 20_000}] and len(found[1][3]) < 20
+    assert found[2][1] == [{"start": 1, "end": 4}] and found[3] == found[4] == (0, [], [], [])
+    rng = random.Random(51)
+    for _ in range(40):
+        values = [rng.randrange(3) for _ in range(rng.randrange(60))]
+        import numpy as np
+
+        assert decontam.suffix_array(np.array(values, np.int32)).tolist() == sorted(range(len(values)), key=lambda i: values[i:])
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(5)
     bench = spark.createDataFrame([(k, prose(rng, 20, 12)) for k in range(6)], "item_id long, text string")
@@ -317,6 +338,23 @@ def test_warc_round_trip(spark):
         revisit = h == long and p != 5
         want.append((p, len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", 5 if revisit else None))
     assert sorted(map(str, (tuple(r) for r in rows))) == sorted(map(str, want))
+    empty = warc.resolved(spark, warc.write_archives(df.limit(0), shared_dir(spark)))
+    assert empty.count() == 0 and len(empty.columns) == 5
+
+
+def test_archive_files_are_bounded_by_bytes(spark, monkeypatch):
+    from cutlist.llm.common import shared_dir
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 60_000)
+    monkeypatch.setattr(warc, "FIRST_CLASS", 2_000)
+    rng = random.Random(31)
+    pages = [(i, f"http://a/{i}", chr(97 + i % 26) * rng.choice([0, 900, 1_999, 2_000, 2_001, 31_000, 33_000, 300_000])) for i in range(120)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(df, shared_dir(spark))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("length").collect()
+    assert len(files) > 5 and all(f.length < 100_000 for f in files if f.length < 300_000)
+    rows = {r.page_id: r for r in warc.resolved(spark, path).collect()}
+    assert {i: (rows[i].payload_bytes, rows[i].payload_digest) for i in rows} == {i: (len(h), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in pages}
 
 
 def test_main_text(spark):
