@@ -168,10 +168,10 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(moved.select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct())
     label = moves[0]
     for move in moves[1:]:
-        bears = label.groupBy("label").agg(F.count("*").alias("n"))
-        then = move.join(bears, move["node"] == bears["label"]).select("node", move["label"].alias("then"), "n")
-        label = join_counted(label, then, {"label": "node"}, "n", label.count()).select("node", F.coalesce("then", "label").alias("label"))
-    return materialize(label) if len(moves) > 1 else label
+        bears = label.groupBy(F.col("label").alias("at")).agg(F.count("*").alias("n"))
+        then = materialize(move.withColumnRenamed("label", "then").join(bears, F.col("node") == F.col("at")).select("node", "then", "n"))
+        label = materialize(join_counted(label, then, {"label": "node"}, "n", label.count()).select("node", F.coalesce("then", "label").alias("label")))
+    return label
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs a, b (written) with na, nb, o (size of the intersection) and own (shingles of a that b hasn't)."""
     met = pairs.groupBy(F.col("b").alias("cid")).agg(F.count("*").alias("n"))
     x = sets.select(F.col("cid").alias("a"), F.col("sh").alias("xa"))
-    y = sets.join(met, "cid").select("cid", F.col("sh").alias("xb"), "n")
+    y = materialize(sets.join(met, "cid").select("cid", F.col("sh").alias("xb"), "n"))
     both = join_counted(pairs.join(x, "a"), y, {"b": "cid"}, "n", pairs.count(), "inner")
     own = F.array_except("xa", "xb")
     out = both.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), own.alias("own"))
@@ -222,11 +222,12 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
 
     band = classes.select("cid", F.explode("bands").alias("bkey"))
     shared = band.groupBy("bkey").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialize(shared)
     n = (REGISTERS // BAND_ROWS) * classes.count()
     members = materialize(join_counted(band, shared.withColumn("held", F.col("size")), {"bkey": "bkey"}, "held", n, "inner"))
     score = members.groupBy("cid").agg(F.sum("size").alias("score"))
     scored = members.join(score, "cid")
-    centre = scored.groupBy("bkey").agg(F.max(F.struct("score", "cid"))["cid"].alias("c"), F.count("*").alias("held"))
+    centre = materialize(scored.groupBy("bkey").agg(F.max(F.struct("score", "cid"))["cid"].alias("c"), F.count("*").alias("held")))
     pairs = join_counted(members.select("cid", "bkey"), centre, {"bkey": "bkey"}, "held", members.count(), "inner")
     pairs = pairs.filter("cid <> c").select(F.col("cid").alias("a"), F.col("c").alias("b")).distinct()
     pairs = materialize(pairs)
@@ -241,8 +242,9 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
 
     named = classes.select("k1", "k2", "cid", "first_id", "copies").join(label, F.col("cid") == F.col("node"), "left")
     named = materialize(named.withColumn("label", F.coalesce("label", "cid")).drop("node"))
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("held"))
+    least = materialize(named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("held")))
     of = join_counted(named, least, {"label": "label"}, "held", named.count()).select("k1", "k2", F.lit(True).alias("some"), "component_id", "copies")
+    of = materialize(of)
     every = rows.select("doc_id", "n", "k1", "k2", (F.col("n") > 0).alias("any"))
     out = join_counted(every, of, {"k1": "k1", "k2": "k2", "any": "some"}, "copies", rows.count())
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -264,19 +266,20 @@ def _open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFram
     met = stars.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"))
     of = label.select("node", "label")
     named = stars.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").withColumnRenamed("b", "c")
-    named = join_counted(named, met.join(of, "node", "left").select("node", F.col("label").alias("lc"), "n"), {"c": "node"}, "n", stars.count())
+    met = materialize(met.join(of, "node", "left").select("node", F.col("label").alias("lc"), "n"))
+    named = join_counted(named, met, {"c": "node"}, "n", stars.count())
     named = named.withColumn("la", F.coalesce("la", "a")).withColumn("lc", F.coalesce("lc", "c"))
     named = materialize(named.withColumn("open", F.col("la") != F.col("lc")).withColumn("must", _least_shared(F.col("na")) - F.col("o")).drop("nb", "lc"))
-    centres = named.groupBy("c").agg(F.count("*").alias("held"), F.count_if("open").alias("n_open")).filter("n_open > 0")
+    centres = materialize(named.groupBy("c").agg(F.count("*").alias("held"), F.count_if("open").alias("n_open")).filter("n_open > 0"))
     named = materialize(join_counted(named, centres, {"c": "c"}, "held", named.count(), "inner"))
     cells = materialize(sets.select("cid", "sh").mapInArrow(_histograms, "cid bigint, cells array<int>"))
 
     # those that must share shingles which the centre lacks meet by the rarest of these
     own = materialize(named.select("c", "a", F.explode("own").alias("e")))
-    again = own.groupBy("c", "e").agg(F.count("*").alias("n")).filter("n > 1")
+    again = materialize(own.groupBy("c", "e").agg(F.count("*").alias("n")).filter("n > 1"))
     common = join_counted(own, again.withColumn("often", F.col("n")), {"c": "c", "e": "e"}, "n", own.count(), "inner")
     by = Window.partitionBy("c", "a")
-    common = common.withColumn("place", F.row_number().over(by.orderBy("often", "e"))).withColumn("s", F.count("*").over(by).cast("int"))
+    common = materialize(common.withColumn("place", F.row_number().over(by.orderBy("often", "e"))).withColumn("s", F.count("*").over(by).cast("int")))
     narrow = named.select("c", "a", "na", "la", "o", "open", "must", F.size("own").alias("n_own"))
     first = common.join(narrow, ["c", "a"]).filter(F.col("n_own") - F.col("s") + F.col("place") <= F.col("n_own") - F.greatest("must", F.lit(1)) + 1)
     first = materialize(first.select("c", "e", "a", "na", "la", "o", "s", "open", "must"))
