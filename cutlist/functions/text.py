@@ -40,10 +40,12 @@ def normalize_chunk_text(c: Column) -> Column:
 
 def first_within_one(token: Column, table: dict[str, str] | dict[str, int]) -> Column:
     """Value of the first key of ``table`` that is ``token`` within one edit; the token itself goes first."""
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in table.items()])
-    exact = F.get(F.filter(rows, lambda r: r["k"] == token), F.lit(0))
-    near = F.get(F.filter(rows, lambda r: F.levenshtein(token, r["k"], 1) >= 0), F.lit(0))
-    return F.coalesce(exact["v"], near["v"])
+    exact, near = F.lit(None), F.lit(None)
+    for k, v in reversed(table.items()):  # the first key that fits decides
+        exact = F.when(token == k, v).otherwise(exact)
+        near = F.when(F.length(token).between(len(k) - 1, len(k) + 1) & (F.levenshtein(token, F.lit(k), 1) >= 0), v).otherwise(near)
+    longest = max(map(len, table)) + 1
+    return F.when(F.length(token) <= longest, F.coalesce(exact, near))
 
 
 def parse_spoken_number(c: Column) -> Column:

@@ -25,10 +25,21 @@ def known_issues(clips: DataFrame) -> DataFrame:
     return clips.withColumn("kind", kind).withColumn("detail", detail).filter("kind is not null")
 
 
-def missing_sources(clips: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Distinct clip paths that the inventory lacks, with the number of clips that use each."""
-    used = clips.groupBy("path").agg(F.count("*").alias("n_clips"))
-    return used.join(inventory.select("path").distinct(), "path", "left_anti")
+def missing_sources(clips: DataFrame, inventory: DataFrame, overlays: DataFrame | None = None) -> DataFrame:
+    """Distinct paths of clips, and of overlays if given, that the inventory lacks, with the number of clips (and of overlay slots) that use each."""
+    used = clips.select("path", F.lit(1).alias("c"), F.lit(0).alias("o"))
+    if overlays is not None:
+        used = used.unionByName(overlays.filter(~is_blank(F.col("path"))).select("path", F.lit(0).alias("c"), F.lit(1).alias("o")))
+    counts = [F.sum("c").cast("long").alias("n_clips"), *([F.sum("o").cast("long").alias("n_overlays")] if overlays is not None else [])]
+    return used.groupBy("path").agg(*counts).join(inventory.select("path").distinct(), "path", "left_anti")
+
+
+def missing_counts(clips: DataFrame, overlays: DataFrame, gone: DataFrame) -> DataFrame:
+    """project_id, clips, overlays, total: how many clips and overlay slots (project_id, slot, path) of each project use a missing path; all projects have a row."""
+    rows = clips.select("project_id", "path", F.lit("clip").alias("kind")).unionByName(overlays.select("project_id", "path", F.lit("overlay").alias("kind")))
+    marked = rows.join(gone.select("path").distinct().withColumn("gone", F.lit(True)), "path", "left")
+    n = [F.count_if(F.col("gone") & (F.col("kind") == k)).alias(f"{k}s") for k in ("clip", "overlay")]
+    return marked.groupBy("project_id").agg(*n).withColumn("total", F.col("clips") + F.col("overlays"))
 
 
 def mark_missing(clips: DataFrame, inventory: DataFrame) -> DataFrame:

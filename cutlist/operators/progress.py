@@ -61,9 +61,10 @@ def batch_outcome(latest_: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def matrix(combos: DataFrame, jobs: DataFrame, latest_: DataFrame) -> DataFrame:
-    """combo_id, job_id, cell, pct: the state of each combo's cell."""
-    rows = combos.join(jobs.select("combo_id", "job_id"), "combo_id", "left").join(latest_.select("job_id", "status", "pct"), "job_id", "left")
-    return rows.select("combo_id", "job_id", cell_status(F.col("status")).alias("cell"), "pct")
+    """combo_id, job_id, cell, phase, pct, error: the state of each combo's cell; ``latest_`` has job_id, status, pct and perhaps error."""
+    error = F.col("error") if "error" in latest_.columns else F.lit(None).cast("string")
+    rows = combos.select("combo_id").join(jobs.select("combo_id", "job_id"), "combo_id", "left").join(latest_.select("job_id", "status", "pct", error.alias("error")), "job_id", "left")
+    return rows.select("combo_id", "job_id", cell_status(F.col("status")).alias("cell"), F.col("status").alias("phase"), F.coalesce("pct", F.lit(0.0)).alias("pct"), "error")
 
 
 def throttle(events: DataFrame, every_ms: int = THROTTLE_MS) -> DataFrame:

@@ -51,3 +51,18 @@ def prepare(states: DataFrame, attempts: DataFrame, before: DataFrame, after: Da
     rows = rows.withColumn("failure", failure)
     outcome = F.when(F.col("failure").isNotNull(), "failed").when(F.col("state") == "hit", "cached").otherwise("transcribed")
     return rows.select("path", outcome.alias("outcome"), "failure")
+
+
+def renewed(cache: DataFrame, outcomes: DataFrame, model: str, after: DataFrame) -> DataFrame:
+    """path, model, size, mtime_ms: the cache after ``prepare``: what was written anew, and the old entries of all other paths that ``prepare`` did not find stale."""
+    made = outcomes.filter("outcome = 'transcribed'").join(after.select("path", "size", "mtime_ms"), "path").select("path", F.lit(model).alias("model"), "size", "mtime_ms")
+    old = cache.select("path", "model", "size", "mtime_ms")
+    kept = old.join(outcomes.filter("outcome <> 'cached'").select("path"), "path", "left_anti")
+    return kept.unionByName(made)
+
+
+def summary(outcomes: DataFrame, *keys: str) -> DataFrame:
+    """keys, total, success, cached, transcribed and failures by kind, of all outcomes that share the keys."""
+    kinds = [F.count_if(F.col("failure") == k).alias(f"failed_{k}") for k in ("model", "source", "transcription")]
+    done = [F.count_if(F.col("outcome") == k).alias(k) for k in ("cached", "transcribed")]
+    return outcomes.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("outcome") != "failed").alias("success"), *done, *kinds)

@@ -34,11 +34,11 @@ SQL: dict[str, tuple[str, str] | str] = {
     "inventory": "select concat('/clips/',cast(p_partkey as varchar(20)),'.mp4') path, p_size*1000 size, p_partkey*1000 mtime_ms from {part} where p_partkey % 13 <> 0",
     "cache": """select concat('/clips/',cast(p_partkey as varchar(20)),'.mp4') path, case when p_partkey % 4 = 0 then 'tiny' else 'base' end model, p_size*1000 size,
  case when p_partkey % 5 = 0 then p_partkey*1000-1 else p_partkey*1000 end mtime_ms from {part} where p_partkey % 3 <> 2""",
-    "render_events": """select user_id % 10 batch_id, user_id job_id, event_id seq, ts,
+    "render_events": """select cast(floor(user_id/10) as bigint) batch_id, user_id job_id, event_id seq, ts,
  case event_type when 'error' then 'error' when 'click' then 'overlaying' when 'view' then 'rendering' when 'signup' then 'queued' else 'done' end status,
  least(100.0e0, value) pct, event_id % 9 = 0 force_emit, event_id % 4 run_id from {events}""",
     "stderr_lines": """select event_id, case event_id % 6 when 0 then 'av_interleaved: No Space Left On Device' when 1 then 'clip.mp4: No such file or directory'
- when 2 then 'moov atom not found' when 3 then 'Decoder (codec hevc) not found for input stream' when 4 then 'Invalid data found when processing input' else concat('unrecognised ',event_type) end raw from {events}""",
+ when 2 then 'moov atom not found' when 3 then 'Decoder (codec hevc) not found for input stream' when 4 then 'Invalid data found when processing input' else concat('unrecognised ',event_type,case cast(floor(event_id/6) as bigint) % 5 when 0 then ': OpenEncodeSessionEx failed (10)' when 1 then ': No capable devices found' when 2 then ' Cannot load nvcuda.dll' when 3 then ': out of memory' else '' end) end raw from {events}""",
     "silence_lines": """select user_id source_id, event_id line_no, case event_id % 3 when 0 then concat('[silencedetect @ 0x] silence_start: ',cast(event_id % 400 as varchar(20)),'.25')
  when 1 then concat('silence_end: ',cast(event_id % 400 as varchar(20)),'.5 | silence_duration: 0.25') else 'frame= 100 fps=30' end line from {events}""",
     "rects": """select l_orderkey*10+l_linenumber rect_id, case l_linenumber % 4 when 0 then 'tiktok' when 1 then 'reels' when 2 then 'shorts' else 'universal' end platform,

@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutlist.functions import text
 from cutlist.operators import captions, clips, combos, errors, jobs, layout, markers, names, progress, qa, silence, speech, transcripts, words
 from cutlist.sources import io
 
-from .fixtures import cte, frame
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *inputs: str):
-    """Register a function of its input frames under its own name, with DuckDB SQL over inputs of the same names."""
-
-    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[frame(spark, sf_dir, name) for name in inputs])
-        if sql:
-            with_ = cte(*inputs).rstrip() + (", " + sql[5:] if sql.startswith("with ") else "\n" + sql)
-            ORACLE_SQL[f.__name__] = with_
-        return f
-
-    return register
-
+from .registry import query
 
 _DENSE = """with d as (select project_id, bucket, clip_id, name, path, duration, row_number() over (partition by project_id, bucket order by ord, clip_id) - 1 as k from clips),
  s as (select project_id, count(*) filter (bucket = 'meat') mn, count(*) filter (bucket = 'cta') cn from clips group by 1),
@@ -59,13 +40,13 @@ def combos_total(clips_: DataFrame) -> DataFrame:
 
 
 @query(
-    _DENSE + """, u as (select project_id, combo_idx, 0 seg, hook_id clip_id, hn name, hp path from combos where combo_idx < 10 union all select project_id, combo_idx, 1, meat_id, mname, mp from combos where combo_idx < 10
- union all select project_id, combo_idx, 2, cta_id, cname, cp from combos where combo_idx < 10)
+    _DENSE + """, u as (select project_id, combo_idx, 0 seg, hook_id clip_id, hn name, hp path from combos union all select project_id, combo_idx, 1, meat_id, mname, mp from combos
+ union all select project_id, combo_idx, 2, cta_id, cname, cp from combos)
  select project_id, path, clip_id, name from (select *, row_number() over (partition by project_id, path order by combo_idx, seg, clip_id) r from u) where r = 1""",
     "clips",
 )
 def combos_required_clips(clips_: DataFrame) -> DataFrame:
-    return combos.required_clips(combos.plan(clips_, limit=10), clips_)
+    return combos.required_clips(combos.plan(clips_), clips_)
 
 
 @query(
@@ -129,13 +110,13 @@ def clips_dependency_paths(clips_: DataFrame, hook_texts: DataFrame) -> DataFram
 
 
 @query(
-    """select c.project_id, c.bucket, c.clip_id, coalesce(u.path, c.path) path, case when u.path is null then c.duration else coalesce(u.duration, c.duration) end duration from clips c
- left join (select clip_id, '/moved/' || clip_id path, case when ord = 0 then null else duration + 1 end duration from clips where ord <= 1) u using (clip_id)""",
+    """select c.project_id, c.bucket, c.clip_id, u.path, coalesce(u.duration, c.duration) duration from clips c
+ left join (select clip_id, '/moved/' || clip_id path, case when ord = 0 then null else duration + 1 end duration from clips) u using (clip_id)""",
     "clips",
 )
 def clips_relink(clips_: DataFrame) -> DataFrame:
-    first = clips_.filter("ord <= 1").select("clip_id", F.lit(1).alias("seq"), F.lit("/old").alias("path"), F.lit(9.0).alias("duration"))
-    last = clips_.filter("ord <= 1").select("clip_id", F.lit(2).alias("seq"), F.concat(F.lit("/moved/"), "clip_id").alias("path"), F.when(F.col("ord") != 0, F.col("duration") + 1).alias("duration"))
+    first = clips_.select("clip_id", F.lit(1).alias("seq"), F.lit("/old").alias("path"), F.lit(9.0).alias("duration"))
+    last = clips_.select("clip_id", F.lit(2).alias("seq"), F.concat(F.lit("/moved/"), "clip_id").alias("path"), F.when(F.col("ord") != 0, F.col("duration") + 1).alias("duration"))
     return clips.upsert(clips_, first.unionByName(last), ["clip_id"]).select("project_id", "bucket", "clip_id", "path", "duration")
 
 
@@ -204,12 +185,6 @@ def words_sanitize(w: DataFrame) -> DataFrame:
     return words.sanitize(rows)
 
 
-@query(None, "words")
-def words_normalize_chunks(w: DataFrame) -> DataFrame:
-    again = w.filter("idx % 5 = 0").select("source_id", F.upper("text").alias("text"), (F.col("start") + 0.05).alias("start"), (F.col("end") + 0.03).alias("end"))
-    return words.normalize_chunks(w.select("source_id", "text", "start", "end").unionByName(again), 0.0)
-
-
 _VAD = """with s as (select *, case when prob > 0.3 then 1 when prob < 0.1 then 0 end sw from vad_frames),
  o as (select source_id, frame, coalesce(last_value(sw ignore nulls) over (partition by source_id order by frame), 0) v from s),
  r as (select *, frame - row_number() over (partition by source_id, v order by frame) g from o),
@@ -229,10 +204,10 @@ def speech_merge_close(frames: DataFrame) -> DataFrame:
 
 
 def _points(frames: DataFrame) -> DataFrame:
-    return frames.filter("frame % 5 = 0").select("source_id", (F.col("frame") * 0.04).alias("t"))
+    return frames.select("source_id", (F.col("frame") * 0.04).alias("t"))
 
 
-_NEAR = ", p as (select source_id, cast(frame as double) * 0.04 t from vad_frames where frame % 5 = 0), n as (select p.source_id, t, (select min(\"start\") from iv where iv.source_id = p.source_id and \"start\" >= t) ns, (select max(\"end\") from iv where iv.source_id = p.source_id and \"start\" < t) pe from p)"
+_NEAR = ", p as (select source_id, cast(frame as double) * 0.04 t from vad_frames), n as (select p.source_id, t, (select min(\"start\") from iv where iv.source_id = p.source_id and \"start\" >= t) ns, (select max(\"end\") from iv where iv.source_id = p.source_id and \"start\" < t) pe from p)"
 
 
 @query(
@@ -261,12 +236,12 @@ def silence_bounds(lines: DataFrame) -> DataFrame:
 
 @query(
     _BOUNDS
-    + """, c as (select *, 390.0 d, case when leading_end >= 0.1 then greatest(0.0, leading_end - 0.05) else 0.0 end x, case when last_start is not null and (last_end is null or last_start > last_end or 390.0 - last_end < 0.05) then least(390.0, last_start + 0.05) else 390.0 end y from b)
+    + """, c as (select *, case when leading_end >= 0.1 then greatest(0.0, leading_end - 0.05) else 0.0 end x, case when last_start is not null and (last_end is null or last_start > last_end or d - last_end < 0.05) then least(d, last_start + 0.05) else d end y from (select *, (select count(*) * 7.5e0 + 120 from silence_lines where silence_lines.source_id = b.source_id) d from b))
  select source_id, cast(case when x + (d - y) < 0.1 or y - x < 0.2 then 0.0 else x end as double) trim_start, cast(case when x + (d - y) < 0.1 or y - x < 0.2 then d else y end as double) trim_end, cast(case when x + (d - y) < 0.1 or y - x < 0.2 then 0.0 else x + (d - y) end as double) trimmed from c""",
     "silence_lines",
 )
 def silence_trim_plan(lines: DataFrame) -> DataFrame:
-    return silence.trim_plan(silence.bounds(lines), lines.select("source_id").distinct().withColumn("duration", F.lit(390.0)))
+    return silence.trim_plan(silence.bounds(lines), lines.groupBy("source_id").agg((F.count("*") * 7.5 + 120).alias("duration")))
 
 
 _ZONES = "with z(platform, sx, sy, sw, sh) as (values ('tiktok', 60.0, 108.0, 900.0, 1492.0), ('reels', 0.0, 210.0, 996.0, 1400.0), ('shorts', 0.0, 120.0, 984.0, 1500.0), ('universal', 60.0, 210.0, 900.0, 1390.0))"
@@ -284,7 +259,7 @@ def layout_safe_zone_audit(rects: DataFrame) -> DataFrame:
 
 
 @query(
-    "select event_id, case event_id % 6 when 0 then 'disk_full' when 1 then 'missing_file' when 2 then 'damaged' when 3 then 'codec' when 4 then 'invalid_data' else 'generic' end code, false gpu from stderr_lines",
+    "select event_id, case event_id % 6 when 0 then 'disk_full' when 1 then 'missing_file' when 2 then 'damaged' when 3 then 'codec' when 4 then 'invalid_data' else 'generic' end code, event_id % 6 = 5 and cast(floor(event_id/6) as bigint) % 5 < 4 gpu from stderr_lines",
     "stderr_lines",
 )
 def errors_classify(lines: DataFrame) -> DataFrame:
@@ -332,11 +307,6 @@ def progress_cells(events: DataFrame) -> DataFrame:
     return events.select("seq", progress.cell_status(F.col("status")).alias("cell"), progress.phase_percent(phase, F.col("pct")).alias("phase_pct"))
 
 
-@query(None, "render_events")
-def progress_throttle(events: DataFrame) -> DataFrame:
-    return progress.throttle(events).select("batch_id", "job_id", "seq")
-
-
 @query(
     """select rect_id, cast(floor(ms / 3600000) as bigint) || ':' || lpad(cast(cast(floor(ms % 3600000 / 60000) as bigint) as varchar), 2, '0') || ':' || lpad(cast(cast(floor(ms % 60000 / 1000) as bigint) as varchar), 2, '0') || '.' || lpad(cast(cast(floor(ms % 1000 / 10) as bigint) as varchar), 2, '0') stamp
  from (select rect_id, x * y * 10 ms from rects)""",
@@ -362,8 +332,8 @@ def fn_paths(clips_: DataFrame) -> DataFrame:
 _TOKENS = r"""with t as (select distinct regexp_replace(lower(text), '[^a-z0-9]', '', 'g') token from words),
  a(o, alias, bucket) as (values (1,'hook','hook'),(2,'hooks','hook'),(3,'meat','meat'),(4,'meats','meat'),(5,'meet','meat'),(6,'meets','meat'),(7,'body','meat'),(8,'bodies','meat'),(9,'middle','meat'),(10,'cta','cta'),(11,'ctas','cta'),(12,'calltoaction','cta'),(13,'closer','cta'),(14,'close','cta'),(15,'outro','cta'),(16,'outros','cta')),
  n(w, num) as (values ('one',1),('two',2),('three',3),('four',4),('five',5),('six',6),('seven',7),('eight',8),('nine',9),('ten',10)),
- b as (select token, arg_min(bucket, o + case when token = alias then 0 else 100 end) bucket from t, a where levenshtein(token, alias) <= 1 group by 1),
- d as (select token, coalesce(max(case when token = w then num end), max(case when regexp_matches(token, '^\d') and try_cast(regexp_extract(token, '^\d+') as bigint) between 1 and 99 then try_cast(regexp_extract(token, '^\d+') as bigint) end), min(case when levenshtein(token, w) <= 1 then num end)) num from t, n where token <> '' group by 1)"""
+ b as (select token, arg_min(bucket, o + case when token = alias then 0 else 100 end) bucket from t, a where abs(length(token) - length(alias)) <= 1 and levenshtein(token, alias) <= 1 group by 1),
+ d as (select token, coalesce(max(case when token = w then num end), max(case when regexp_matches(token, '^\d') and try_cast(regexp_extract(token, '^\d+') as bigint) between 1 and 99 then try_cast(regexp_extract(token, '^\d+') as bigint) end), min(case when abs(length(token) - length(w)) <= 1 and levenshtein(token, w) <= 1 then num end)) num from t, n where token <> '' group by 1)"""
 
 
 @query(_TOKENS + " select token, bucket, cast(num as int) num from t left join b using (token) left join d using (token) where bucket is not null or num is not null", "words")
@@ -429,7 +399,7 @@ def jobs_timeline(clips_: DataFrame, hook_texts: DataFrame, probe: DataFrame) ->
     return rows.select("project_id", "combo_id", "seg", "offset_ms", "duration_ms")
 
 
-@query(_SEGS + " select distinct path from i join probe using (path) where not (width = 1080 and height = 1920 and abs(fps - 30) < 0.5 and codec = 'h264' and audio_codec = 'aac')", "clips", "hook_texts", "probe")
+@query(_SEGS + " select distinct path, path || '::1080x1920:true' cache_key from i join probe using (path) where not (width = 1080 and height = 1920 and abs(fps - 30) < 0.5 and codec = 'h264' and audio_codec = 'aac')", "clips", "hook_texts", "probe")
 def jobs_needs_normalization(clips_: DataFrame, hook_texts: DataFrame, probe: DataFrame) -> DataFrame:
     return jobs.needs_normalization(jobs.inputs(_jobs(clips_, hook_texts, captions=False)), probe, 1080, 1920)
 
@@ -457,18 +427,6 @@ def io_render_manifest(clips_: DataFrame, hook_texts: DataFrame) -> DataFrame:
     return io.render_manifest(jobs.inputs(plan)).join(plan.select("job_id", "combo_id"), "job_id").select("combo_id", "manifest")
 
 
-@query(None, "clips", "hook_texts", "probe")
-def captions_build(clips_: DataFrame, hook_texts: DataFrame, probe: DataFrame) -> DataFrame:
-    plan = _jobs(clips_, hook_texts, captions=True)
-    n = F.pmod((F.col("duration") * 4).cast("int"), F.lit(14))
-    each = F.explode(F.sequence(F.lit(0), n))
-    spoken = clips_.select("path", each.alias("idx"), F.lit("").alias("text"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))
-    spoken = spoken.select("path", "idx", F.concat(F.lit("w"), F.col("idx").cast("string")).alias("text"), (F.col("idx") * 0.3).alias("start"), (F.col("idx") * 0.3 + 0.3).alias("end"))
-    style = clips_.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in captions.DEFAULTS.items()], F.lit(1080).alias("width"), F.lit(1920).alias("height"), F.lit(None).cast("double").alias("position_y"))
-    documents = captions.build(jobs.timeline(plan, probe), spoken, captions.style_header(captions.sanitize_style(style)))
-    return documents.join(plan.select("job_id", "combo_id"), "job_id").select("combo_id", "ass")
-
-
 @query(
     "select user_id batch_id, ts, 'cut ' || strftime(ts, '%Y-%m-%d %H-%M-%S') || case when k > 1 then ' (' || k || ')' else '' end directory from (select seq user_id, ts, row_number() over (partition by date_trunc('second', ts) order by seq) k from render_events)",
     "render_events",
@@ -478,13 +436,14 @@ def names_batch_directories(events: DataFrame) -> DataFrame:
 
 
 @query(
-    """with s as (select bucket source_id, clip_id, duration, 'Hook ' || cast(ord as varchar) lab, row_number() over (partition by bucket order by clip_id) rnk from clips)
+    """with s as (select cast(floor(project_id / 4) as bigint) || bucket source_id, 'Hook ' || cast(ord as varchar) lab, row_number() over (partition by cast(floor(project_id / 4) as bigint), bucket order by clip_id) rnk from clips)
  select source_id, rnk as rank, 'Hook_' || split_part(lab, ' ', 2) || case when k = 1 then '' else '_' || cast(k as varchar) end || '.mp4' file from (select *, row_number() over (partition by source_id, lab order by rnk) + 1 k from s)""",
     "clips",
 )
 def names_segment_files(clips_: DataFrame) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("clip_id")).cast("long")
-    segments = clips_.select(F.col("bucket").alias("source_id"), rank.alias("rank"), F.concat(F.lit("Hook "), F.col("ord").cast("string")).alias("label"))
+    of = F.floor(F.col("project_id") / 4)  # four projects to a source, so that labels repeat
+    rank = F.row_number().over(Window.partitionBy(of, "bucket").orderBy("clip_id")).cast("long")
+    segments = clips_.select(F.concat(of.cast("string"), "bucket").alias("source_id"), rank.alias("rank"), F.concat(F.lit("Hook "), F.col("ord").cast("string")).alias("label"))
     taken = segments.select("source_id", F.concat(F.replace("label", F.lit(" "), F.lit("_")), F.lit(".mp4")).alias("file")).distinct()
     return names.segment_files(segments, taken).select("source_id", "rank", "file")
 

@@ -32,10 +32,23 @@ def classify_errors(lines: DataFrame) -> DataFrame:
     return lines.withColumn("code", errors.code(F.col("raw"))).withColumn("hint", errors.classify(F.col("raw")))
 
 
-def throttle(events: DataFrame, every_ms: int = progress.THROTTLE_MS) -> DataFrame:
-    """Events that are sent, by event time: forced ones, and those 200 ms after the last sent; one time is kept for each batch id."""
+def _timeout(forget_ms: int | None) -> str:
+    """Without a limit state is kept for ever. A stream with one wakes to forget, so it runs on: it fits no trigger that ends with its input."""
+    return GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def throttle(events: DataFrame, every_ms: int = progress.THROTTLE_MS, forget_ms: int | None = None) -> DataFrame:
+    """Events that are sent, by event time: forced ones, and those 200 ms after the last sent; one time is kept for each batch id.
+
+    The same as the batch form if events come in their order; one that comes
+    after a later one of its batch is held against the last that was sent. What
+    is kept for a batch goes ``forget_ms`` after its last event, if given.
+    """
 
     def walk(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
         keep = []
@@ -44,20 +57,31 @@ def throttle(events: DataFrame, every_ms: int = progress.THROTTLE_MS) -> DataFra
             last = ts if send else last
             keep.append(send)
         state.update((int(last),))
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
         yield rows[keep]
 
     cast = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return cast.groupBy("batch_id").applyInPandasWithState(walk, cast.schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return cast.groupBy("batch_id").applyInPandasWithState(walk, cast.schema, "last long", "append", _timeout(forget_ms))
+
 
+def drop_superseded(events: DataFrame, key: str = "job_id", forget_ms: int | None = None) -> DataFrame:
+    """Events unless a newer run of their key has been seen; the newest run id is the state.
 
-def drop_superseded(events: DataFrame, key: str = "job_id") -> DataFrame:
-    """Events unless a newer run of their key has been seen; the newest run id is the state."""
+    Unlike the batch form, which knows all runs, it lets an older run's events
+    through that come before the newer run does.
+    """
 
     def walk(k: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         newest = state.get[0] if state.exists else None
         rows = pd.concat(list(parts))
         newest = int(max(rows["run_id"].max(), newest if newest is not None else rows["run_id"].max()))
         state.update((newest,))
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
         yield rows[rows["run_id"] == newest]
 
-    return events.groupBy(key).applyInPandasWithState(walk, events.schema, "newest long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(walk, events.schema, "newest long", "append", _timeout(forget_ms))

@@ -117,7 +117,7 @@ def test_every_sql_matches(spark):
 
     import duckdb
 
-    from cutlist.plans import queries
+    from cutlist.plans import further, registry as queries  # noqa: F401
 
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()

@@ -10,9 +10,13 @@ from cutlist.sources import audio
 from cutlist.streaming import stream
 
 
-def written(spark, df, tmp_path, name):
-    df.repartition(3).write.parquet(f"{tmp_path}/{name}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(f"{tmp_path}/{name}")
+def written(spark, df, tmp_path, name, parts=3):
+    """A stream of ``df`` in so many triggers, in the order of its rows."""
+    rows = df.collect()
+    for k in range(parts):
+        some = rows[k * len(rows) // parts : (k + 1) * len(rows) // parts]
+        spark.createDataFrame(some, df.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
 
 
 def collected(stream_df, name, mode, tmp_path):
@@ -34,10 +38,29 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert seen[-1] == {tuple(r) for r in progress.overall(progress.latest(ev)).collect()}
     got = collected(stream.throttle(source), "throttled", "append", tmp_path)
     assert sorted(r.seq for r in got.collect()) == sorted(r.seq for r in progress.throttle(ev).collect())
-    got = collected(stream.drop_superseded(source), "newest", "append", tmp_path)
-    assert sorted(r.seq for r in got.collect()) == sorted(r.seq for r in progress.drop_superseded(ev, "job_id").collect())
+    got = sorted(r.seq for r in collected(stream.drop_superseded(source), "newest", "append", tmp_path).collect())
+    newest, want = {}, []
+    for part in (rows[:40], rows[40:80], rows[80:]):
+        for r in part:
+            newest[r[1]] = max(newest.get(r[1], r[7]), r[7])
+        want += [r[2] for r in part if r[7] == newest[r[1]]]
+    assert got == sorted(want) and len(seen) == 3
+
+
+def test_stream_state_is_carried_over_triggers(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(0, k, k, t0 + dt.timedelta(milliseconds=150 * k), "done", 1.0, False, 5 - k) for k in range(6)]
+    ev = spark.createDataFrame(rows, "batch_id long, job_id long, seq long, ts timestamp, status string, pct double, force_emit boolean, run_id long")
+    got = collected(stream.throttle(written(spark, ev, tmp_path, "one", 6)), "one_each", "append", tmp_path)
+    assert sorted(r.seq for r in got.collect()) == [0, 2, 4]  # without state each trigger's event would be sent
+    same = ev.withColumn("job_id", F.lit(1).cast("long"))
+    got = collected(stream.drop_superseded(written(spark, same, tmp_path, "two", 6)), "falling", "append", tmp_path)
+    assert [r.seq for r in got.collect()] == [0]  # the first run is the newest, all others come too late
+
+
+def test_classified_stream(spark, tmp_path):
     lines = spark.createDataFrame([("moov atom not found",), ("other",)], "raw string")
-    assert {r.code for r in collected(stream.classify_errors(written(spark, lines, tmp_path, "lines")), "lines", "append", tmp_path).collect()} == {"damaged", "generic"}
+    assert {r.code for r in collected(stream.classify_errors(written(spark, lines, tmp_path, "lines", 2)), "lines", "append", tmp_path).collect()} == {"damaged", "generic"}
 
 
 def test_wav(spark):
@@ -54,7 +77,17 @@ def test_edge_checks(spark):
     clips = spark.createDataFrame([("s", "dirty", "meat", 0.0, 6.0), ("s", "clean", "hook", 20.0, 26.0)], "source_id string, clip_id string, bucket string, source_start double, source_end double")
     rows = {r.clip_id: r for r in qa.run(clips, source).collect()}
     assert rows["clean"].status == "clean" and rows["clean"].confidence == 0.95
-    assert rows["dirty"].status in ("auto_fixed", "flagged") and rows["dirty"].recuts >= 0
+    # "hook one" leads into a meat clip: one cut past the cue mends it
+    dirty = rows["dirty"]
+    assert (dirty.status, dirty.recuts, dirty.confidence) == ("auto_fixed", 1, 0.95) and dirty.source_end == 6.0
+    assert 0.7 <= dirty.source_start < 1.6 and dirty.leading_leak is None and dirty.trailing_leak is None
+    first = {r.clip_id: r for r in qa.verify(clips.withColumn("duration", F.col("source_end") - F.col("source_start")), source.select(F.lit("dirty").alias("clip_id"), "text", "start", "end").filter("end <= 6")).collect()}
+    assert first["dirty"].leading_leak.label == "Hook 1" and first["dirty"].leading_leak.trim_ms == round(dirty.source_start * 1000)
+    assert first["dirty"].confidence < 0.95 and first["clean"].leading_leak is None
+    flagged = {r.clip_id: r.status for r in qa.run(clips, source, max_recuts=0).collect()}
+    assert flagged == {"dirty": "flagged", "clean": "clean"}
+    moved = {r.clip_id: r for r in qa.nudge(qa.run(clips, source), spark.createDataFrame([("clean", 100.0, 0.0), ("dirty", 9000.0, 0.0)], "clip_id string, start_ms double, end_ms double"), source).collect()}
+    assert moved["clean"].source_start == 20.1 and moved["clean"].status == "auto_fixed" and moved["dirty"].source_start == dirty.source_start  # a move that leaves nothing is refused
     r = qa.report(spark.createDataFrame([("s", "clean"), ("s", "flagged")], "source_id string, status string")).first()
     assert (r.clean, r.auto_fixed, r.flagged) == (1, 0, 1)
     done = qa.run(clips, source)
