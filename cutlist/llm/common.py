@@ -30,27 +30,32 @@ def join_counted(rows: DataFrame, table: DataFrame, on: dict[str, str], count: s
     ``total`` is the number of all rows. ``on`` maps columns of ``rows`` to the
     keys; nulls are equal. A key may hold a third of all rows: a hot one is
     repeated in the table, once for each share of one in ``HOT`` of the rows, and
-    its rows are dealt to these by a hash of ``by``, or of all columns. That adds at most ``HOT`` rows to the
-    table, and only the names of hot keys, fewer than ``HOT``, are sent to all
-    executors.
+    its rows are dealt to these by a hash of ``by``, or of all columns. That adds
+    at most ``HOT`` rows to the table. Hashes of the hot keys, fewer than ``HOT``,
+    come to the driver and go into the plan; both sides go by these hashes, so two
+    keys with one hash still meet.
     """
-    shares = (F.floor(F.col(count) * HOT / F.lit(max(1, total))) + 1).cast("int")
-    values = [c for c in table.columns if c not in on.values() and c != count]
-
-    def keys(mark: str) -> list[Column]:
-        return [F.col(k).alias(f"{mark}{i}") for i, k in enumerate(on.values())]
-
-    def same(mark: str) -> Column:
-        out = F.lit(True)
-        for i, c in enumerate(on):
-            out = out & F.col(c).eqNullSafe(F.col(f"{mark}{i}"))
-        return out
-
-    hot = table.withColumn("_n", shares).filter("_n > 1").select(*keys("_h"), "_n")
-    dealt = rows.join(F.broadcast(hot), same("_h"), "left")
-    dealt = dealt.withColumn("_s", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64(*(by or rows.columns)), F.col("_n"))).otherwise(F.lit(0)).cast("int"))
-    each = table.select(*keys("_k"), F.struct(F.lit(True).alias("_"), *values).alias("_v"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("_t"))
-    both = dealt.join(each, same("_k") & (F.col("_s") == F.col("_t")), how)
+    keys = list(on.values())
+    values = [c for c in table.columns if c not in keys and c != count]
+    share = F.floor(F.col(count) * HOT / F.lit(max(1, total))) + 1
+    hot = table.select(F.xxhash64(*keys).alias("h"), share.cast("int").alias("n")).filter("n > 1").collect()
+
+    def shares(columns: list[str]) -> Column:
+        if not hot:
+            return F.lit(1)
+        known = {r["h"]: r["n"] for r in sorted(hot, key=lambda r: r["n"])}
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in known.items() for v in kv]), F.xxhash64(*columns)), F.lit(1))
+
+    side = table.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(F.lit(True).alias("_"), *values).alias("_v"))
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    dealt = rows
+    if hot:
+        dealt = rows.withColumn("_s", F.pmod(F.xxhash64(*(by or rows.columns)), shares(list(on))).cast("int"))
+        side = side.withColumn("_t", F.explode(F.sequence(F.lit(0), shares([f"_k{i}" for i in range(len(keys))]) - 1)))
+        same = same & (F.col("_s") == F.col("_t"))
+    both = dealt.join(side, same, how)
     return both.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col("_v")[v].alias(v) for v in values])
 
 

@@ -150,28 +150,27 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours and itself which is first in an order hashed anew; links between
     nodes that moved to one place vanish, so each round holds a fraction of the
     links of the one before. The moves of all rounds give the labels. They pass
-    through written tables, never through the driver.
+    through written tables, never through the driver. Rows here are two numbers,
+    so a component that holds a third of them is left to Spark's own splitting of
+    skewed joins.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     moves: list[DataFrame] = []
-    while (n := edges.count()) or not moves:
+    while not moves or not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         turn = F.lit(len(moves))
-        first = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn).alias("h"), F.col("b").alias("to"))).alias("f"), F.count("*").alias("links"))
+        first = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", turn).alias("h"), F.col("b").alias("to"))).alias("f"))
         to = F.when(F.col("f.h") < F.xxhash64("a", turn), F.col("f.to")).otherwise(F.col("a"))
-        move = materialize(first.select(F.col("a").alias("node"), to.alias("label"), "links"))
-        moves.append(move.select("node", "label"))
-        moved = edges
-        for c in "ab":
-            moved = join_counted(moved, move.withColumnRenamed("label", f"{c}2"), {c: "node"}, "links", n)
-        moved = moved.filter("a2 <> b2")
+        move = materialize(first.select(F.col("a").alias("node"), to.alias("label")))
+        moves.append(move)
+        x, y = (move.select(F.col("node").alias(c), F.col("label").alias(f"{c}2")) for c in "ab")
+        moved = edges.join(x, "a").join(y, "b").filter("a2 <> b2")
         edges = materialize(moved.select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct())
     label = moves[0]
     for move in moves[1:]:
-        bears = label.groupBy(F.col("label").alias("at")).agg(F.count("*").alias("n"))
-        then = materialize(move.withColumnRenamed("label", "then").join(bears, F.col("node") == F.col("at")).select("node", "then", "n"))
-        label = materialize(join_counted(label, then, {"label": "node"}, "n", label.count()).select("node", F.coalesce("then", "label").alias("label")))
-    return label
+        then = move.select(F.col("node").alias("label"), F.col("label").alias("then"))
+        label = label.join(then, "label", "left").select("node", F.coalesce("then", "label").alias("label"))
+    return materialize(label) if len(moves) > 1 else label
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -179,7 +178,8 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) ->
     need = materialize(classes.select("cid", "first_id", "k1", "k2").join(wanted, "cid", "left_semi"))
     ids = need.select(F.col("first_id").alias("doc_id")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("i"))
-    texts = docs.join(ids.withColumnRenamed("doc_id", "i"), same, "left_semi")
+    # texts move to the ids at every size: what is wanted may be too much to send to all executors
+    texts = docs.join(ids.withColumnRenamed("doc_id", "i").hint("shuffle_hash"), same, "left_semi")
     sets = _keyed(texts, k).select("sh", "k1", "k2").join(need.select("cid", "k1", "k2"), ["k1", "k2"])
     return materialize(sets.select("cid", "sh").dropDuplicates(["cid"]))
 
@@ -200,7 +200,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs a, b (written) with na, nb, o (size of the intersection) and own (shingles of a that b hasn't)."""
     met = pairs.groupBy(F.col("b").alias("cid")).agg(F.count("*").alias("n"))
     x = sets.select(F.col("cid").alias("a"), F.col("sh").alias("xa"))
-    y = materialize(sets.join(met, "cid").select("cid", F.col("sh").alias("xb"), "n"))
+    y = sets.join(met, "cid").select("cid", F.col("sh").alias("xb"), "n")
     both = join_counted(pairs.join(x, "a"), y, {"b": "cid"}, "n", pairs.count(), "inner")
     own = F.array_except("xa", "xb")
     out = both.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), own.alias("own"))
@@ -242,7 +242,7 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
 
     named = classes.select("k1", "k2", "cid", "first_id", "copies").join(label, F.col("cid") == F.col("node"), "left")
     named = materialize(named.withColumn("label", F.coalesce("label", "cid")).drop("node"))
-    least = materialize(named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("held")))
+    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("held"))
     of = join_counted(named, least, {"label": "label"}, "held", named.count()).select("k1", "k2", F.lit(True).alias("some"), "component_id", "copies")
     of = materialize(of)
     every = rows.select("doc_id", "n", "k1", "k2", (F.col("n") > 0).alias("any"))
@@ -266,11 +266,11 @@ def _open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFram
     met = stars.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"))
     of = label.select("node", "label")
     named = stars.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").withColumnRenamed("b", "c")
-    met = materialize(met.join(of, "node", "left").select("node", F.col("label").alias("lc"), "n"))
+    met = met.join(of, "node", "left").select("node", F.col("label").alias("lc"), "n")
     named = join_counted(named, met, {"c": "node"}, "n", stars.count())
     named = named.withColumn("la", F.coalesce("la", "a")).withColumn("lc", F.coalesce("lc", "c"))
     named = materialize(named.withColumn("open", F.col("la") != F.col("lc")).withColumn("must", _least_shared(F.col("na")) - F.col("o")).drop("nb", "lc"))
-    centres = materialize(named.groupBy("c").agg(F.count("*").alias("held"), F.count_if("open").alias("n_open")).filter("n_open > 0"))
+    centres = named.groupBy("c").agg(F.count("*").alias("held"), F.count_if("open").alias("n_open")).filter("n_open > 0")
     named = materialize(join_counted(named, centres, {"c": "c"}, "held", named.count(), "inner"))
     cells = materialize(sets.select("cid", "sh").mapInArrow(_histograms, "cid bigint, cells array<int>"))
 

@@ -3,9 +3,9 @@
 Voters come from word lists and patterns; each votes toxic, clean, or not at
 all. Words and
 beginnings of words are listed by labelled rows, or stand in a short fixed list. The label model knows no labels: it estimates, by expectation
-maximisation, how often each voter votes what for either class, finds voters
-that agree beyond that, and lets such a cluster speak with the weight of its
-independent part. The linear classifier is trained on the posterior labels,
+maximisation, how often each voter votes what for either class, then how far
+voters agree beyond that, and lets each speak with the weight of its independent
+part. The linear classifier is trained on the posterior labels,
 over the words and beginnings of words of a text; two numbers then calibrate its scores on labels.
 
 Training reads at most about ``TRAIN_ROWS`` labelled rows, by hash of their id;
@@ -41,8 +41,8 @@ FEATURES = 300
 PURE = 2.0
 #: Lengths of word beginnings that are tokens.
 PREFIXES = range(3, 8)
-#: Residual correlation from which two voters share a cluster.
-CORRELATED = 0.4
+#: Residual correlation below which two voters count as independent.
+CORRELATED = 0.2
 #: Common insults, for tables whose labels name none.
 INSULTS = frozenset(b"idiot moron stupid loser pathetic worthless disgusting trash scum clown dumb fool ugly vermin filth creep bastard jerk imbecile degenerate".split())
 _MASKED = re.compile(r"[A-Za-z][*#@$!]{2,}[A-Za-z]")
@@ -175,13 +175,18 @@ def posterior(vote: np.ndarray, share: float, rounds: int = 40) -> tuple[np.ndar
 
 
 def _independent(vote: np.ndarray, table: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """One over the size of each voter's cluster of correlated voters, given the class."""
+    """The independent part of each voter: one over the sum of its correlations with all voters, given the class.
+
+    Correlations are of what is left of the votes once each class' expectation
+    is taken off; those below ``CORRELATED`` count as chance.
+    """
     said = (vote >= 0).astype(float)
     expect = (1 - table[:, 0, 1])[None] * p[:, None] + (1 - table[:, 0, 0])[None] * (1 - p)[:, None]
     rest = said - expect
     scale = np.sqrt((rest**2).mean(axis=0)) + 1e-6
-    corr = (rest.T @ rest) / len(rest) / np.outer(scale, scale)
-    return 1 / (np.abs(corr) > CORRELATED).sum(axis=1).clip(1)
+    corr = np.abs((rest.T @ rest) / len(rest) / np.outer(scale, scale))
+    np.fill_diagonal(corr, 1.0)
+    return 1 / np.where(corr > CORRELATED, corr, 0).sum(axis=1)
 
 
 @dataclass

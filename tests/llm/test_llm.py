@@ -107,7 +107,8 @@ def brute_components(texts, k):
     return {i: (len(s), least[find(a)]) for a, (i, s) in enumerate(sets)}
 
 
-def test_near_duplicates_match_brute_force(spark):
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_match_brute_force(spark, k):
     rng = random.Random(3)
     texts, i = [], 0
     for _ in range(25):  # groups of near copies around the threshold, and a large one
@@ -118,11 +119,94 @@ def test_near_duplicates_match_brute_force(spark):
             i += 1
     rng.shuffle(texts)
     texts += [(1000, ""), (1001, None), (1002, "one"), (1003, "ONE"), (1004, "two")]
-    want = brute_components(texts, 2)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.grouped(documents(spark, texts), 2).collect()}
+    want = brute_components(texts, k)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.grouped(documents(spark, texts), k).collect()}
     assert got == want
 
 
+def test_members_of_one_centre_are_held_against_each_other(spark, monkeypatch):
+    """Long parts of one text that are no copies of it but of each other, and unlike texts that share a block with it."""
+    rng = random.Random(33)
+    long = prose(rng, 200, 10**6).split()
+    texts = [(0, " ".join(long))]
+    for i in range(1, 60):
+        a = rng.choice([0, 4, 40, 44])
+        w = long[a : a + 140]
+        w = [x if rng.random() > 0.01 else f"e{rng.randrange(10**6)}" for x in w] + (prose(rng, 12, 10**6).split() if i % 3 == 0 else [])
+        texts.append((i, " ".join(w)))
+    texts += [(100 + i, " ".join(long[:100]) + " " + prose(rng, 30 + i % 7, 10**6)) for i in range(60)]
+    monkeypatch.setattr(neardup, "MEMBERS", 7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.grouped(documents(spark, texts), 2).collect()}
+    assert got == brute_components(texts, 2) and 1 < len({c for _, c in got.values()}) < 80
+
+
+def test_joins_on_hot_keys(spark):
+    from cutlist.llm.common import join_counted
+
+    keys = ["hot"] * 4_000 + [None] * 900 + [f"k{i % 300}" for i in range(900)]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id long, k string")
+    table = rows.filter("k is null or k <> 'k7'").groupBy(F.col("k").alias("key")).agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    out = {r.id: r.top for r in join_counted(rows, table, {"k": "key"}, "n", len(keys)).collect()}
+    top = {k: i for i, k in enumerate(keys)}
+    assert out == {i: top[k] if k != "k7" else None for i, k in enumerate(keys)}
+    assert join_counted(rows, table, {"k": "key"}, "n", len(keys), "inner").count() == sum(k != "k7" for k in keys)
+    assert join_counted(rows.limit(0), table, {"k": "key"}, "n", 0).count() == 0
+
+
+def test_empty_tables(spark):
+    none = documents(spark, [])
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.judged(none, bench).count() == decontam.clean(none, bench).count() == 0
+    assert pii.report(none).count() == pii.redacted(none).count() == 0
+    assert secrets.report(none, secrets.new_ledger(spark)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.scored(none, toxicity.fitted(none, labels)).count() == 0
+    assert quality.judge(none).count() == quality.accepted(none).count() == 0
+    assert neardup.one_of_each(none).count() == mixing.mix(none).count() == 0
+
+
+def test_label_model_finds_accuracies_of_simulated_voters():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, truth = 4_000, np.random.default_rng(6).random(4_000) < 0.2
+    hit, false = [0.7, 0.5, 0.4, 0.6, 0.3], [0.02, 0.05, 0.01, 0.1, 0.02]
+    vote = np.full((n, 9), -1, np.int8)
+    for j, (h, f) in enumerate(zip(hit, false)):
+        vote[np.where(truth, rng.random(n) < h, rng.random(n) < f), j] = 1
+    for j in (5, 6, 7):  # three voters that repeat the fourth
+        vote[:, j] = vote[:, 3]
+    vote[:, 8] = np.where((vote[:, :5] == 1).any(axis=1), -1, 0)
+    p, weight = toxicity.posterior(vote, 0.2)
+    assert ((p > 0.5) == truth).mean() > 0.93 and abs(p.mean() - 0.2) < 0.05
+    assert weight[[3, 5, 6, 7]].sum() < 1.5 and weight[0] > 0.6  # the repeated voter speaks about once
+
+
+def test_toxicity_of_one_class(spark):
+    texts = [(i, f"w{i} a b c") for i in range(40)]
+    for y in (0, 1):
+        labels = spark.createDataFrame([(i, y) for i in range(40)], "doc_id long, toxic int")
+        got = toxicity.scored(documents(spark, texts), toxicity.fitted(documents(spark, texts), labels)).collect()
+        assert {r.predicted for r in got} == {y}
+
+
+def test_tagger_adds_forms_that_the_patterns_miss_and_no_decoys():
+    """Held-out windows: numbers and words that no training window has."""
+    rng = random.Random(77)
+    train, test = random.Random(11), []
+    model = pii.train(pii._examples(train) + [(f"{prose(rng, 3)} {rng.randrange(10**15, 10**16)} {prose(rng, 2)}", []) for _ in range(60)])
+    for _ in range(120):
+        number = f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"
+        before = prose(rng, 3) + " "
+        test.append((before + number + " " + prose(rng, 2), (len(before), 3, len(before) + len(number))))
+    decoys = [f"{prose(rng, 3)} {d} {prose(rng, 2)}" for d in (str(rng.randrange(10**15, 10**16)) for _ in range(150)) if not pii.luhn(d)]
+    assert not any(pii.base_spans(t) for t, _ in test) and not any(pii.base_spans(t) for t in decoys)
+    found = pii.tagged_spans(model, [t for t, _ in test])
+    assert sum(span in spans for spans, (_, span) in zip(found, test)) / len(test) > 0.8
+    wrong = sum(any(k == 2 for _, k, _ in spans) for spans in pii.tagged_spans(model, decoys))
+    assert wrong == 0  # what fails the check digit is no card
+
+
 def test_superminhash_estimates_jaccard():
     import numpy as np
 
