@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 HOT = 1_000
 
 
-def join_counted(rows: DataFrame, table: DataFrame, on: dict[str, str], count: str, total: int, how: str = "left", by: tuple[str, ...] = ()) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, on: dict[str, str], count: str, total: int, how: str = "left", by: tuple[str, ...] = (), hint: str | None = None) -> DataFrame:
     """``rows`` with the columns of ``table`` beside its keys and ``count``; null where it has no row for them (or, ``inner``, without these).
 
     ``table`` has one row for each key, with the number of rows that bear it;
@@ -33,7 +33,8 @@ def join_counted(rows: DataFrame, table: DataFrame, on: dict[str, str], count: s
     its rows are dealt to these by a hash of ``by``, or of all columns. That adds
     at most ``HOT`` rows to the table. Hashes of the hot keys, fewer than ``HOT``,
     come to the driver and go into the plan; both sides go by these hashes, so two
-    keys with one hash still meet.
+    keys with one hash still meet. ``hint`` is for tables that grow with the rows,
+    and are joined alike at every size.
     """
     keys = list(on.values())
     values = [c for c in table.columns if c not in keys and c != count]
@@ -55,7 +56,7 @@ def join_counted(rows: DataFrame, table: DataFrame, on: dict[str, str], count: s
         dealt = rows.withColumn("_s", F.pmod(F.xxhash64(*(by or rows.columns)), shares(list(on))).cast("int"))
         side = side.withColumn("_t", F.explode(F.sequence(F.lit(0), shares([f"_k{i}" for i in range(len(keys))]) - 1)))
         same = same & (F.col("_s") == F.col("_t"))
-    both = dealt.join(side, same, how)
+    both = dealt.join(side.hint(hint) if hint else side, same, how)
     return both.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col("_v")[v].alias(v) for v in values])
 
 

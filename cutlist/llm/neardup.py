@@ -48,6 +48,8 @@ BAND_ROWS = 4
 SIMILARITY = 80
 #: Shingles that one step of the signature code holds (about 200 bytes each).
 CHUNK = 200_000
+#: Up to so many class ids are sent to all executors to pick the texts to compare (16 bytes each).
+BROADCAST_IDS = 500_000
 #: Cells of the histograms that bound what two sets can share.
 CELLS = 512
 #: Open members of one centre that one task holds against the others at a time.
@@ -178,8 +180,10 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) ->
     need = materialize(classes.select("cid", "first_id", "k1", "k2").join(wanted, "cid", "left_semi"))
     ids = need.select(F.col("first_id").alias("doc_id")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("i"))
-    # texts move to the ids at every size: what is wanted may be too much to send to all executors
-    texts = docs.join(ids.withColumnRenamed("doc_id", "i").hint("shuffle_hash"), same, "left_semi")
+    ids = ids.withColumnRenamed("doc_id", "i")
+    # texts stay where they are while the ids are few; beyond the bound they move to the ids
+    ids = F.broadcast(ids) if need.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    texts = docs.join(ids, same, "left_semi")
     sets = _keyed(texts, k).select("sh", "k1", "k2").join(need.select("cid", "k1", "k2"), ["k1", "k2"])
     return materialize(sets.select("cid", "sh").dropDuplicates(["cid"]))
 
@@ -224,11 +228,11 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
     shared = band.groupBy("bkey").agg(F.count("*").alias("size")).filter("size > 1")
     shared = materialize(shared)
     n = (REGISTERS // BAND_ROWS) * classes.count()
-    members = materialize(join_counted(band, shared.withColumn("held", F.col("size")), {"bkey": "bkey"}, "held", n, "inner"))
+    members = materialize(join_counted(band, shared.withColumn("held", F.col("size")), {"bkey": "bkey"}, "held", n, "inner", hint="merge"))
     score = members.groupBy("cid").agg(F.sum("size").alias("score"))
     scored = members.join(score, "cid")
     centre = materialize(scored.groupBy("bkey").agg(F.max(F.struct("score", "cid"))["cid"].alias("c"), F.count("*").alias("held")))
-    pairs = join_counted(members.select("cid", "bkey"), centre, {"bkey": "bkey"}, "held", members.count(), "inner")
+    pairs = join_counted(members.select("cid", "bkey"), centre, {"bkey": "bkey"}, "held", members.count(), "inner", hint="merge")
     pairs = pairs.filter("cid <> c").select(F.col("cid").alias("a"), F.col("c").alias("b")).distinct()
     pairs = materialize(pairs)
     sets = _sets_of(docs, classes, pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), k)
@@ -243,10 +247,10 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
     named = classes.select("k1", "k2", "cid", "first_id", "copies").join(label, F.col("cid") == F.col("node"), "left")
     named = materialize(named.withColumn("label", F.coalesce("label", "cid")).drop("node"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("held"))
-    of = join_counted(named, least, {"label": "label"}, "held", named.count()).select("k1", "k2", F.lit(True).alias("some"), "component_id", "copies")
+    of = join_counted(named, least, {"label": "label"}, "held", named.count(), hint="merge").select("k1", "k2", F.lit(True).alias("some"), "component_id", "copies")
     of = materialize(of)
     every = rows.select("doc_id", "n", "k1", "k2", (F.col("n") > 0).alias("any"))
-    out = join_counted(every, of, {"k1": "k1", "k2": "k2", "any": "some"}, "copies", rows.count())
+    out = join_counted(every, of, {"k1": "k1", "k2": "k2", "any": "some"}, "copies", rows.count(), hint="merge")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -277,7 +281,7 @@ def _open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFram
     # those that must share shingles which the centre lacks meet by the rarest of these
     own = materialize(named.select("c", "a", F.explode("own").alias("e")))
     again = materialize(own.groupBy("c", "e").agg(F.count("*").alias("n")).filter("n > 1"))
-    common = join_counted(own, again.withColumn("often", F.col("n")), {"c": "c", "e": "e"}, "n", own.count(), "inner")
+    common = join_counted(own, again.withColumn("often", F.col("n")), {"c": "c", "e": "e"}, "n", own.count(), "inner", hint="merge")
     by = Window.partitionBy("c", "a")
     common = materialize(common.withColumn("place", F.row_number().over(by.orderBy("often", "e"))).withColumn("s", F.count("*").over(by).cast("int")))
     narrow = named.select("c", "a", "na", "la", "o", "open", "must", F.size("own").alias("n_own"))
