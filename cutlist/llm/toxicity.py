@@ -43,6 +43,8 @@ PURE = 2.0
 PREFIXES = range(3, 8)
 #: Residual correlation below which two voters count as independent.
 CORRELATED = 0.2
+#: The same before the classes are known, when all voters of one class agree somewhat.
+ALIKE = 0.8
 #: Common insults, for tables whose labels name none.
 INSULTS = frozenset(b"idiot moron stupid loser pathetic worthless disgusting trash scum clown dumb fool ugly vermin filth creep bastard jerk imbecile degenerate".split())
 _MASKED = re.compile(r"[A-Za-z][*#@$!]{2,}[A-Za-z]")
@@ -169,16 +171,16 @@ def posterior(vote: np.ndarray, share: float, rounds: int = 40) -> tuple[np.ndar
                 table[j, v, 1] = (p[at].sum() + 0.1) / (p.sum() + 0.3)
                 table[j, v, 0] = ((1 - p[at]).sum() + 0.1) / ((1 - p).sum() + 0.3)
         share = float(np.clip(p.mean(), 0.005, 0.6))
-        if k == rounds // 2:
-            weight = _independent(vote, table, p)
+        if k in (0, rounds // 2):  # at first only voters that say nearly the same, which would else pass for the class itself
+            weight = _independent(vote, table, p, CORRELATED if k else ALIKE)
     return p, weight
 
 
-def _independent(vote: np.ndarray, table: np.ndarray, p: np.ndarray) -> np.ndarray:
+def _independent(vote: np.ndarray, table: np.ndarray, p: np.ndarray, least: float) -> np.ndarray:
     """The independent part of each voter: one over the sum of its correlations with all voters, given the class.
 
     Correlations are of what is left of the votes once each class' expectation
-    is taken off; those below ``CORRELATED`` count as chance.
+    is taken off; those below ``least`` count as chance.
     """
     said = (vote >= 0).astype(float)
     expect = (1 - table[:, 0, 1])[None] * p[:, None] + (1 - table[:, 0, 0])[None] * (1 - p)[:, None]
@@ -186,7 +188,7 @@ def _independent(vote: np.ndarray, table: np.ndarray, p: np.ndarray) -> np.ndarr
     scale = np.sqrt((rest**2).mean(axis=0)) + 1e-6
     corr = np.abs((rest.T @ rest) / len(rest) / np.outer(scale, scale))
     np.fill_diagonal(corr, 1.0)
-    return 1 / np.where(corr > CORRELATED, corr, 0).sum(axis=1)
+    return 1 / np.where(corr > least, corr, 0).sum(axis=1)
 
 
 @dataclass
