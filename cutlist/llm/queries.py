@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, licences, mixing, neardup, pii, quality, secrets, sql, toxicity, warc
+from . import decontam, html, langid, licences, mixing, neardup, negatives, pii, quality, resample, secrets, sql, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -58,6 +58,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    ready = rows.filter(negatives.usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), whole.alias("vector"), label.alias("label"), (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return negatives.mined(ready)
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    profiles = langid.learned(docs.filter(~held).select("text", "lang"))
+    return langid.identified(docs.select("doc_id", held.alias("held_out"), "text"), profiles)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.ranked(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_decontaminate": op2_decontaminate,
@@ -69,5 +88,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_main_text": op9_main_text,
     "op10_license_scan": op10_license_scan,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_language": op12_language,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL = sql.ORACLE_SQL

@@ -90,3 +90,31 @@ m as (select d.doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_stri
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * n_removed_words <= 50 * n_words kept from m"""
 
 ORACLE_SQL = {"op2_decontaminate": OP2, "op3_secret_scan": OP3, "op4_mix_sources": OP4, "op5_near_duplicates": OP5, "op6_warc_revisits": OP6, "op8_quality_rules": OP8}
+
+#: Vectors of unlike length have no product here; the given ones are all alike.
+OP11 = """with v as (select vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v from embeddings
+ where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id a, b.id b, a.l = b.l same, cast(list_dot_product(a.v, b.v) as bigint) s from v a join v b on a.id <> b.id where a.id % 100 = 0),
+p as (select a, b p, s ps from s where same qualify row_number() over (partition by a order by s desc, b) <= 5)
+select a anchor_id, p positive_id, cast(row_number() over w as int) rank, b negative_id, ps positive_score, s negative_score from p join s using (a) where not same and 80 * ps <= 100 * s and 100 * s <= 100 * ps
+window w as (partition by a, p order by s desc, b) qualify row_number() over w <= 5"""
+
+#: The CRC goes by halves of bytes, over a table of 16 places that is made from the polynomial.
+_CRC = """list_reduce(list_transform(string_split(regexp_replace(hex(encode(f)), '(.)(.)', '\\2\\1', 'g'), ''), lambda h: cast(strpos('0123456789ABCDEF', h) - 1 as bigint)), lambda c, n: xor(c >> 4, steps[xor(c, n) % 16 + 1]), cast(4294967295 as bigint))"""
+OP13 = rf"""with tab as (select list_transform(range(16), lambda i: list_reduce(range(4), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, cast(i as bigint))) steps),
+d as (select row_number() over () r, doc_id, regexp_extract_all({_lower('text')}, {_ITEM_WORDS}) w from documents),
+b as (select regexp_extract_all({_lower('text')}, {_ITEM_WORDS}) w from benchmark),
+g as (select unnest([1, 2, 3]) n),
+x as (select r, array_to_string(list_slice(w, i, i + n - 1), ' ') f, count(*) n from (select r, w, n, unnest(range(1, len(w) - n + 2)) i from d, g where len(w) >= n) group by 1, 2),
+y as (select array_to_string(list_slice(w, i, i + n - 1), ' ') f, count(*) n from (select w, n, unnest(range(1, len(w) - n + 2)) i from b, g where len(w) >= n) group by 1),
+k as (select f, xor({_CRC}, 4294967295) % 10000 k from (select f from x union select f from y), tab),
+s as (select k, sum(n) s from x join k using (f) group by 1),
+t as (select k, sum(n) t from y join k using (f) group by 1),
+gain as (select k, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select coalesce(sum(n), 0) from x) + 10000) / ((coalesce(s, 0) + 1)::double * ((select coalesce(sum(n), 0) from y) + 10000)))) as bigint) gain from s full join t using (k)),
+m as (select r, cast(sum(n) as bigint) n_features, cast(sum(n * gain) as bigint) weight from x join k using (f) join gain using (k) group by 1),
+z as (select doc_id, len(w) >= 20 may, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight,
+ coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('42:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5e0) / 4294967296e0))) as bigint) score from d left join m using (r)),
+o as (select *, row_number() over (order by may desc, score desc, doc_id nulls last) o from z)
+select doc_id, n_features, weight, score, case when o <= (select 5 * count(*) // 100 from z where may) then o end rank from o"""
+
+ORACLE_SQL |= {"op11_hard_negatives": OP11, "op13_importance_resampling": OP13}
