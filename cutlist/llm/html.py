@@ -38,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -84,11 +85,11 @@ ARTICLE_SHARE, FOLLOW_SHARE, HINT_SHARE = 0.25, 0.6, 1 / 3
 OWN_SHARE = 0.02
 #: Pages of a host whose expressions meet in one group, and groups that meet in the next.
 GROUP_PAGES, GROUP_FAN = 5_000, 64
-#: Cells of an alignment's table; streams that differ over more places are aligned by the first places of their tags.
-CELLS = 4_000_000
 #: Host expressions that one task holds before it passes them on.
 HELD = 5_000
 
+_ZEROS, _TOO_LARGE = re.compile("&#0+(?=[0-9])"), re.compile("&#[1-9][0-9]{7,};?")
+
 Token = tuple[str, str, bool]  # "<" tag, ">" or "#" text; for texts: whether it is in boilerplate
 
 
@@ -118,6 +119,13 @@ def _tag(name: str, attributes: str, main: bool) -> tuple[str, bool, bool]:
     return name + ("." + first if first else "") + hint, bool(hint), hidden
 
 
+def decoded(text: str) -> str:
+    """``text`` with its character references decoded. Numbers of any length: zeros in front go, and what no character can have becomes U+FFFD."""
+    if "&#" in text:
+        text = _TOO_LARGE.sub("\ufffd", _ZEROS.sub("&#", text))
+    return entities.unescape(text)
+
+
 def stream(source: str) -> list[Token]:
     """Tags and texts of one page in order; elements without text are left out. Tags of boilerplate end in ``~``, hinted ones in ``!``."""
     out: list[Token] = []
@@ -131,7 +139,7 @@ def stream(source: str) -> list[Token]:
         nonlocal sent
         joined = "".join(text)
         text.clear()
-        if joined and not joined.isspace() and (joined := _SPACE.sub(" ", entities.unescape(joined)).strip()):
+        if joined and not joined.isspace() and (joined := _SPACE.sub(" ", decoded(joined)).strip()):
             for s in stack[sent:]:
                 out.append(("<", s[1], False))
             sent = len(stack)
@@ -300,6 +308,52 @@ def _folded(slots: list[Slot]) -> list[Slot]:
     return slots
 
 
+def _steps(a: list[str], b: list[str]) -> Iterator[tuple[bool, bool]]:
+    """A walk along a longest common subsequence of ``a`` and ``b`` until one ends: whether both move, or else whether ``a`` does; ``a`` does if nothing is lost by it.
+
+    Row i has a bit for each place j of ``b`` at which the greatest length left,
+    of a[i:] and b[j:], is one more than at j + 1. A row follows from the next by a
+    few operations on whole numbers of len(b) bits. Every ``gap``-th row is kept,
+    the rest are made again from these, so what is held grows with the root of
+    len(a), and sizes have no effect on the walk.
+    """
+    full = (1 << len(b)) - 1
+    where: dict[str, int] = {}
+    for j, name in enumerate(reversed(b)):  # bit 0 is the last place of b
+        where[name] = where.get(name, 0) | 1 << j
+
+    def rows(upto: int, down: int, row: int) -> list[int]:
+        """Rows ``upto`` - 1 to ``down``, from row ``upto``; zeros are the places where the length grows."""
+        out = []
+        for i in range(upto - 1, down - 1, -1):
+            u = row & where.get(a[i], 0)
+            row = ((row + u) | (row - u)) & full
+            out.append(row)
+        return out
+
+    gap = max(1, math.isqrt(len(a)))
+    kept = {len(a): full}
+    for upto in range(len(a), 0, -gap):
+        down = max(0, upto - gap)
+        kept[down] = rows(upto, down, kept[upto])[-1]
+    stops = sorted(kept)
+    i = j = at = 0
+    held: list[int] = []  # rows of the stretch from stops[at], in order
+    while i < len(a) and j < len(b):
+        if i >= stops[at]:
+            upto = stops[at + 1]
+            held = [*reversed(rows(upto, stops[at], kept[upto])), kept[upto]]
+            base, at = stops[at], at + 1
+        if a[i] == b[j]:
+            yield True, True
+            i, j = i + 1, j + 1
+            continue
+        left = (1 << (len(b) - j)) - 1
+        first = (~held[i - base] & left).bit_count() == (~held[i + 1 - base] & left).bit_count()
+        yield False, first
+        i, j = i + first, j + (not first)
+
+
 def _aligned(x: list[Slot], y: list[Slot]) -> list[Slot]:
     """Slots of two streams by a longest common subsequence of names; what is beside it stays as it is, optional by its pages."""
 
@@ -317,26 +371,10 @@ def _aligned(x: list[Slot], y: list[Slot]) -> list[Slot]:
     a, b = x[head : len(x) - tail], y[head : len(y) - tail]
     if not a or not b:
         return [*before, *a, *b, *after]
-    if len(a) * len(b) > CELLS:
-        places: dict[str, Slot] = {}
-        for slot in [*a, *b]:
-            places[slot[0]] = (slot[0], 1, places[slot[0]][2] + slot[2]) if slot[0] in places else slot
-        return [*before, *places.values(), *after]
-    length = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            length[i][j] = 1 + length[i + 1][j + 1] if a[i][0] == b[j][0] else max(length[i + 1][j], length[i][j + 1])
     middle, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i][0] == b[j][0]:
-            middle.append(both(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif length[i + 1][j] >= length[i][j + 1]:
-            middle.append(a[i])
-            i += 1
-        else:
-            middle.append(b[j])
-            j += 1
+    for same, first in _steps([p[0] for p in a], [q[0] for q in b]):
+        middle.append(both(a[i], b[j]) if same else a[i] if first else b[j])
+        i, j = i + (same or first), j + (same or not first)
     return [*before, *middle, *a[i:], *b[j:], *after]
 
 

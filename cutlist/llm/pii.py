@@ -79,12 +79,18 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def _at_most_255(digits: str) -> bool:
+    """By the digits behind leading zeros, so a part may be of any length."""
+    rest = digits.lstrip("0")
+    return len(rest) < 4 and int(rest or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Matches of the base patterns by start, then kind; failing matches are dropped and not tried again."""
     if not _TRIGGER.search(text):
         return []
     found = [(a, 0, b) for a, b in _emails(text)]
-    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+    found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_at_most_255(p) for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         d = _digits(m.group())
         if 14 <= len(d) <= 19 and luhn(d):
