@@ -77,10 +77,10 @@ def test_edge_checks(spark):
     clips = spark.createDataFrame([("s", "dirty", "meat", 0.0, 6.0), ("s", "clean", "hook", 20.0, 26.0)], "source_id string, clip_id string, bucket string, source_start double, source_end double")
     rows = {r.clip_id: r for r in qa.run(clips, source).collect()}
     assert rows["clean"].status == "clean" and rows["clean"].confidence == 0.95
-    # "hook one" leads into a meat clip: one cut past the cue mends it
+    # "hook one" leads into a meat clip: one cut past the words of the edge mends it
     dirty = rows["dirty"]
     assert (dirty.status, dirty.recuts, dirty.confidence) == ("auto_fixed", 1, 0.95) and dirty.source_end == 6.0
-    assert 0.7 <= dirty.source_start < 1.6 and dirty.leading_leak is None and dirty.trailing_leak is None
+    assert dirty.source_start == 1.88 and dirty.leading_leak is None and dirty.trailing_leak is None
     first = {r.clip_id: r for r in qa.verify(clips.withColumn("duration", F.col("source_end") - F.col("source_start")), source.select(F.lit("dirty").alias("clip_id"), "text", "start", "end").filter("end <= 6")).collect()}
     assert first["dirty"].leading_leak.label == "Hook 1" and first["dirty"].leading_leak.trim_ms == round(dirty.source_start * 1000)
     assert first["dirty"].confidence < 0.95 and first["clean"].leading_leak is None
