@@ -48,10 +48,14 @@ def first_within_one(token: Column, table: dict[str, str] | dict[str, int]) -> C
     return F.when(F.length(token) <= longest, F.coalesce(exact, near))
 
 
+def leading_number(c: Column) -> Column:
+    """1 to 99 for leading digits; null otherwise."""
+    return F.regexp_extract(c, r"^0*([1-9]\d?)(?!\d)", 1).try_cast("int")
+
+
 def parse_spoken_number(c: Column) -> Column:
     """1 to 10 for a number word, 1 to 99 for leading digits, else the first word within one edit; null otherwise."""
-    number = F.regexp_extract(c, r"^0*([1-9]\d?)(?!\d)", 1).try_cast("int")
-    return F.when(F.length(c) > 0, F.coalesce(number, first_within_one(c, NUMBER_WORDS))).cast("int")
+    return F.when(F.length(c) > 0, F.coalesce(leading_number(c), first_within_one(c, NUMBER_WORDS))).cast("int")
 
 
 def ass_timestamp(ms: Column) -> Column:
