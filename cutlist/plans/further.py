@@ -444,6 +444,7 @@ def stream_classify_errors(lines: DataFrame) -> DataFrame:
 @query(None, "words")
 def qa_nudge(w: DataFrame) -> DataFrame:
     """Windows of all words, moved by hand: those that shrink to under half a second keep their bounds."""
+    w = materialize(w)
     last = w.groupBy("source_id").agg(F.floor(F.max("end") / 20.0).alias("n"))
     each = last.select("source_id", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("k"))
     name = F.concat_ws("-", F.col("source_id").cast("string"), F.col("k").cast("string"))

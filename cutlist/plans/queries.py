@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cutlist.functions import text
 from cutlist.operators import captions, clips, combos, errors, jobs, layout, markers, names, progress, qa, silence, speech, transcripts, words
 from cutlist.sources import io
+from cutlist.sources.shared import materialize
 
 from .registry import query
 
@@ -343,6 +344,7 @@ def markers_vocabulary(w: DataFrame) -> DataFrame:
 
 @query(None, "words")
 def markers_detect(w: DataFrame) -> DataFrame:
+    w = materialize(w)  # read several times, as a stored table
     return markers.detect(w, _durations(w))
 
 
@@ -450,6 +452,7 @@ def names_segment_files(clips_: DataFrame) -> DataFrame:
 
 @query(None, "words")
 def qa_run(w: DataFrame) -> DataFrame:
+    w = materialize(w)
     windows = _windows(w)
     bucket = F.element_at(F.array(F.lit("hook"), F.lit("meat"), F.lit("cta")), (F.col("seg_id") % 3 + 1).cast("int"))
     name = F.concat_ws("-", F.col("source_id").cast("string"), F.col("seg_id").cast("string"))
