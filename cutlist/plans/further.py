@@ -11,7 +11,8 @@ from cutlist.sources import audio, io
 from cutlist.sources.shared import materialize, shared_dir
 from cutlist.streaming import stream
 
-from .queries import _DENSE, _LABEL, _LATEST, _jobs
+from . import walk
+from .queries import _CUT, _DENSE, _LABEL, _LATEST, _jobs
 from .registry import query
 
 _NAMED = _DENSE + rf""", named as (select project_id, combo_idx, combo_id, '/out/' || {_LABEL} || '_' || regexp_replace(mname, '\.[^.]+$', '') || '_' || regexp_replace(cname, '\.[^.]+$', '') || '_' || (combo_idx + 1) || '.mp4' path
@@ -441,7 +442,19 @@ def stream_classify_errors(lines: DataFrame) -> DataFrame:
     return _appended(stream.classify_errors(_streamed(lines.withColumn("part", (F.col("event_id") % 3).cast("int"))))).select("event_id", "code")
 
 
-@query(None, "words")
+@query(
+    "with recursive "
+    + _CUT.replace("['hook', 'meat', 'cta'][k % 3 + 1]", "'hook'")
+    + ", "
+    + walk.run("cut")
+    + """, moved as materialized (select *, source_end - source_start duration from (select d.source_id, clip_id, d.bucket, d.source_start + case when c.source_start % 40 = 0 then 500e0 else 20000e0 end / 1000 source_start, d.source_end - 250e0 / 1000 source_end from q_done d join (select clip_id, source_start from cut) c using (clip_id))
+ where source_end - source_start >= 0.5e0),
+"""
+    + walk.checked("z", "moved")
+    + """ select source_id, clip_id, source_start, source_end, confidence, status from q_done where clip_id not in (select clip_id from moved)
+ union all select source_id, clip_id, source_start, source_end, confidence, case when lead_trim is null and trail_trim is null then 'auto_fixed' else 'flagged' end from z_v""",
+    "words",
+)
 def qa_nudge(w: DataFrame) -> DataFrame:
     """Windows of all words, moved by hand: those that shrink to under half a second keep their bounds."""
     w = materialize(w)

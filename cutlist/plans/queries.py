@@ -10,6 +10,7 @@ from cutlist.operators import captions, clips, combos, errors, jobs, layout, mar
 from cutlist.sources import io
 from cutlist.sources.shared import materialize
 
+from . import walk
 from .registry import query
 
 _DENSE = """with d as (select project_id, bucket, clip_id, name, path, duration, row_number() over (partition by project_id, bucket order by ord, clip_id) - 1 as k from clips),
@@ -330,19 +331,19 @@ def fn_paths(clips_: DataFrame) -> DataFrame:
     return clips_.select("clip_id", text.file_name(F.col("path")).alias("file"), text.safe_segment(F.col("name"), "clip").alias("segment"), text.join_output_path(F.lit("/out//"), F.col("name")).alias("joined"))
 
 
-_TOKENS = r"""with t as (select distinct regexp_replace(lower(text), '[^a-z0-9]', '', 'g') token from words),
- a(o, alias, bucket) as (values (1,'hook','hook'),(2,'hooks','hook'),(3,'meat','meat'),(4,'meats','meat'),(5,'meet','meat'),(6,'meets','meat'),(7,'body','meat'),(8,'bodies','meat'),(9,'middle','meat'),(10,'cta','cta'),(11,'ctas','cta'),(12,'calltoaction','cta'),(13,'closer','cta'),(14,'close','cta'),(15,'outro','cta'),(16,'outros','cta')),
- n(w, num) as (values ('one',1),('two',2),('three',3),('four',4),('five',5),('six',6),('seven',7),('eight',8),('nine',9),('ten',10)),
- b as (select token, arg_min(bucket, o + case when token = alias then 0 else 100 end) bucket from t, a where abs(length(token) - length(alias)) <= 1 and levenshtein(token, alias) <= 1 group by 1),
- d as (select token, coalesce(max(case when token = w then num end), max(case when regexp_matches(token, '^\d') and try_cast(regexp_extract(token, '^\d+') as bigint) between 1 and 99 then try_cast(regexp_extract(token, '^\d+') as bigint) end), min(case when abs(length(token) - length(w)) <= 1 and levenshtein(token, w) <= 1 then num end)) num from t, n where token <> '' group by 1)"""
-
-
-@query(_TOKENS + " select token, bucket, cast(num as int) num from t left join b using (token) left join d using (token) where bucket is not null or num is not null", "words")
+@query("with " + walk.tokens("words") + " select token, bucket, cast(num as int) num from v_t left join v_bucket using (token) left join v_num using (token) where bucket is not null or num is not null", "words")
 def markers_vocabulary(w: DataFrame) -> DataFrame:
     return markers.vocabulary(w).filter("bucket is not null or num is not null").select("token", "bucket", "num")
 
 
-@query(None, "words")
+@query(
+    "with recursive durations as (select source_id, max(\"end\") + 5.0e0 duration from words group by 1), "
+    + walk.tokens("words")
+    + ",\n"
+    + walk.detected("m", "words", "durations")
+    + " select source_id, cast(row_number() over (partition by source_id order by idx) - 1 as int) as rank, label, bucket, start_time, end_time, cast(idx as int) cue_first, cast(idx + n - 1 as int) cue_last from m_t2",
+    "words",
+)
 def markers_detect(w: DataFrame) -> DataFrame:
     w = materialize(w)  # read several times, as a stored table
     return markers.detect(w, _durations(w))
@@ -450,7 +451,10 @@ def names_segment_files(clips_: DataFrame) -> DataFrame:
     return names.segment_files(segments, taken).select("source_id", "rank", "file")
 
 
-@query(None, "words")
+_CUT = """cut as (select source_id, source_id || '-' || k clip_id, ['hook', 'meat', 'cta'][k % 3 + 1] bucket, k * 20.0e0 source_start, k * 20.0e0 + 12.0e0 source_end from (select source_id, unnest(generate_series(0, cast(floor(max("end") / 20.0) as bigint))) k from words group by 1))"""
+
+
+@query("with recursive " + _CUT + ", " + walk.run("cut") + " select source_id, clip_id, bucket, source_start, source_end, confidence, recuts, status from q_done", "words")
 def qa_run(w: DataFrame) -> DataFrame:
     w = materialize(w)
     windows = _windows(w)
