@@ -48,8 +48,6 @@ BAND_ROWS = 4
 SIMILARITY = 80
 #: Shingles that one step of the signature code holds (about 200 bytes each).
 CHUNK = 200_000
-#: Up to so many class ids are sent to all executors to pick the texts to compare (16 bytes each).
-BROADCAST_IDS = 500_000
 #: Cells of the histograms that bound what two sets can share.
 CELLS = 512
 #: Open members of one centre that one task holds against the others at a time.
@@ -180,10 +178,8 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) ->
     need = materialize(classes.select("cid", "first_id", "k1", "k2").join(wanted, "cid", "left_semi"))
     ids = need.select(F.col("first_id").alias("doc_id")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("i"))
-    ids = ids.withColumnRenamed("doc_id", "i")
-    # texts stay where they are while the ids are few; beyond the bound they move to the ids
-    ids = F.broadcast(ids) if need.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    texts = docs.join(ids, same, "left_semi")
+    # ids grow with the rows, so texts move to them, alike at every size
+    texts = docs.join(ids.withColumnRenamed("doc_id", "i").hint("shuffle_hash"), same, "left_semi")
     sets = _keyed(texts, k).select("sh", "k1", "k2").join(need.select("cid", "k1", "k2"), ["k1", "k2"])
     return materialize(sets.select("cid", "sh").dropDuplicates(["cid"]))
 
