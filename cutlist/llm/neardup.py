@@ -180,7 +180,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) ->
     same = F.col("doc_id").eqNullSafe(F.col("i"))
     # ids grow with the rows, so texts move to them, alike at every size
     texts = docs.join(ids.withColumnRenamed("doc_id", "i").hint("shuffle_hash"), same, "left_semi")
-    sets = _keyed(texts, k).select("sh", "k1", "k2").join(need.select("cid", "k1", "k2"), ["k1", "k2"])
+    sets = _keyed(texts, k).select("sh", "k1", "k2").join(need.select("cid", "k1", "k2").hint("merge"), ["k1", "k2"])
     return materialize(sets.select("cid", "sh").dropDuplicates(["cid"]))
 
 
@@ -200,8 +200,9 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs a, b (written) with na, nb, o (size of the intersection) and own (shingles of a that b hasn't)."""
     met = pairs.groupBy(F.col("b").alias("cid")).agg(F.count("*").alias("n"))
     x = sets.select(F.col("cid").alias("a"), F.col("sh").alias("xa"))
-    y = sets.join(met, "cid").select("cid", F.col("sh").alias("xb"), "n")
-    both = join_counted(pairs.join(x, "a"), y, {"b": "cid"}, "n", pairs.count(), "inner")
+    # pairs grow with the rows, so sets move to them at every size
+    y = sets.join(met.hint("merge"), "cid").select("cid", F.col("sh").alias("xb"), "n")
+    both = join_counted(pairs.hint("merge").join(x, "a"), y, {"b": "cid"}, "n", pairs.count(), "inner", hint="merge")
     own = F.array_except("xa", "xb")
     out = both.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), own.alias("own"))
     return out.withColumn("o", F.col("na") - F.size("own"))
@@ -226,7 +227,7 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
     n = (REGISTERS // BAND_ROWS) * classes.count()
     members = materialize(join_counted(band, shared.withColumn("held", F.col("size")), {"bkey": "bkey"}, "held", n, "inner", hint="merge"))
     score = members.groupBy("cid").agg(F.sum("size").alias("score"))
-    scored = members.join(score, "cid")
+    scored = members.join(score.hint("merge"), "cid")
     centre = materialize(scored.groupBy("bkey").agg(F.max(F.struct("score", "cid"))["cid"].alias("c"), F.count("*").alias("held")))
     pairs = join_counted(members.select("cid", "bkey"), centre, {"bkey": "bkey"}, "held", members.count(), "inner", hint="merge")
     pairs = pairs.filter("cid <> c").select(F.col("cid").alias("a"), F.col("c").alias("b")).distinct()

@@ -136,7 +136,6 @@ def test_members_of_one_centre_are_held_against_each_other(spark, monkeypatch):
         texts.append((i, " ".join(w)))
     texts += [(100 + i, " ".join(long[:100]) + " " + prose(rng, 30 + i % 7, 10**6)) for i in range(60)]
     monkeypatch.setattr(neardup, "MEMBERS", 7)
-    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)  # the way for ids that are too many to send
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.grouped(documents(spark, texts), 2).collect()}
     assert got == brute_components(texts, 2) and 1 < len({c for _, c in got.values()}) < 80
 
