@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlist.functions.text import finite
+from cutlist.sources.store import KeyedStore
 
 
 def valid_signature(size: Column, mtime: Column) -> Column:
@@ -61,6 +62,21 @@ def renewed(cache: DataFrame, outcomes: DataFrame, model: str, after: DataFrame)
     return kept.unionByName(made)
 
 
+CACHE = "path string, model string, size long, mtime_ms long"
+
+
+def cache_store(spark: SparkSession, path: str) -> KeyedStore:
+    """The cache as a store that eviction and renewal change."""
+    return KeyedStore(spark, path, CACHE, ("path",)).create()
+
+
+def renew(store: KeyedStore, states: DataFrame, outcomes: DataFrame, model: str, after: DataFrame, version: int) -> None:
+    """Two versions of the store: from ``version`` on entries that were stale are gone, from the next on what was transcribed is there."""
+    store.append(states.filter("state = 'stale'").select("path"), version, gone=True)
+    made = outcomes.filter("outcome = 'transcribed'").join(after.select("path", "size", "mtime_ms"), "path")
+    store.append(made.select("path", F.lit(model).alias("model"), F.col("size").cast("long").alias("size"), F.col("mtime_ms").cast("long").alias("mtime_ms")), version + 1)
+
+
 def summary(outcomes: DataFrame, *keys: str) -> DataFrame:
     """keys, total, success, cached, transcribed and failures by kind, of all outcomes that share the keys."""
     kinds = [F.count_if(F.col("failure") == k).alias(f"failed_{k}") for k in ("model", "source", "transcription")]

@@ -133,6 +133,19 @@ def transcripts_renewed(clips_: DataFrame, cache: DataFrame, inventory: DataFram
     return transcripts.renewed(cache, _prepared(clips_, cache, inventory), "base", inventory)
 
 
+@query(_PREPARED + " select path, model, size, mtime_ms from cache where path not in (select path from o where state = 'stale' or outcome = 'transcribed') union all select path, 'base', s, m from o where outcome = 'transcribed'", "clips", "cache", "inventory")
+def transcripts_store(clips_: DataFrame, cache: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The cache as a store: filled, checked, its stale entries removed and renewed, and compacted."""
+    spark = clips_.sparkSession
+    store = transcripts.cache_store(spark, shared_dir(spark))
+    store.append(cache.select("path", "model", F.col("size").cast("long").alias("size"), F.col("mtime_ms").cast("long").alias("mtime_ms")), 0)
+    attempts = clips_.select("path").distinct().select("path", F.lit(True).alias("model_ok"), F.lit(True).alias("ok"))
+    states = transcripts.inspect_cache(clips_, "base", store.read(), inventory)
+    transcripts.renew(store, states, transcripts.prepare(states, attempts, inventory, inventory), "base", inventory, 1)
+    store.compact(1)
+    return store.read()
+
+
 @query(_PREPARED + " select path, model from cache where path not in (select path from st where state = 'stale')", "clips", "cache", "inventory")
 def transcripts_evict(clips_: DataFrame, cache: DataFrame, inventory: DataFrame) -> DataFrame:
     return transcripts.evict(cache, transcripts.inspect_cache(clips_, "base", cache, inventory)).select("path", "model")
@@ -407,10 +420,8 @@ def stream_latest_progress(events: DataFrame) -> DataFrame:
 )
 def stream_overall_progress(events: DataFrame) -> DataFrame:
     spark, path = events.sparkSession, shared_dir(events.sparkSession)
-    writer = stream.overall_progress(_streamed(_by_time(events)), lambda frame, k: frame.withColumn("k", F.lit(k)).write.mode("append").parquet(path), shared_dir(spark))
-    writer.trigger(availableNow=True).start().awaitTermination()
-    rolled = spark.read.parquet(path)
-    return rolled.join(rolled.agg(F.max("k").alias("k")), "k").drop("k")
+    stream.overall_progress(_streamed(_by_time(events)), path, shared_dir(spark)).trigger(availableNow=True).start().awaitTermination()
+    return stream.overall(spark, path)
 
 
 @query(

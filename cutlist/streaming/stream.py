@@ -6,11 +6,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cutlist.functions.text import round_half_up
 from cutlist.operators import errors, progress
+from cutlist.sources.store import KeyedStore
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
@@ -18,13 +20,46 @@ def latest_progress(events: DataFrame) -> DataFrame:
     return progress.latest(events)
 
 
-def overall_progress(events: DataFrame, sink, checkpoint: str):
-    """Writer that hands ``sink(frame, batch)`` the roll-up of all latest states after each trigger.
+JOBS = "batch_id long, job_id long, seq long, status string, pct double"
+TOTALS = "batch_id long, done long, error long, canceled long, total long, pct decimal(38,6)"
 
-    Latest states come whole (complete mode), so the roll-up needs no second stateful step.
+
+def _stores(spark: SparkSession, path: str) -> tuple[KeyedStore, KeyedStore]:
+    return KeyedStore(spark, f"{path}/jobs", JOBS, ("batch_id", "job_id")), KeyedStore(spark, f"{path}/totals", TOTALS, ("batch_id",))
+
+
+def overall_progress(events: DataFrame, path: str, checkpoint: str):
+    """Writer that keeps the roll-up of all latest states in stores under ``path``.
+
+    A trigger hands on the jobs that changed. What each adds to its batch, less
+    what its state before had added, goes to the batch's totals, so a trigger
+    writes a row for each changed job and batch, however many there are. Versions
+    are the triggers' numbers and read those before alone: a trigger that is run
+    again gives the same.
     """
-    out = latest_progress(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-    return out.foreachBatch(lambda frame, k: sink(progress.overall(frame), k))
+    jobs, totals = (s.create() for s in _stores(events.sparkSession, path))
+    states = ("done", "error", "canceled")
+
+    def of(side: str) -> list:
+        there = F.col(f"{side}.seq").isNotNull().cast("long")
+        return [*[F.coalesce((F.col(f"{side}.status") == s).cast("long"), F.lit(0)) for s in states], there, F.coalesce(F.col(f"{side}.pct").cast("decimal(28,6)"), F.lit(0))]
+
+    def step(frame: DataFrame, k: int) -> None:
+        jobs.append(frame, k)
+        changed, before = jobs.version(k), jobs.read(k - 1)
+        both = changed.alias("now").join(before.alias("was"), ["batch_id", "job_id"], "left")
+        names = (*states, "total", "pct")
+        delta = both.groupBy("batch_id").agg(*[F.sum(a - b).alias(n) for n, a, b in zip(names, of("now"), of("was"), strict=True)])
+        sums = delta.alias("d").join(totals.read(k - 1).alias("t"), "batch_id", "left")
+        totals.append(sums.select("batch_id", *[(F.col(f"d.{n}") + F.coalesce(F.col(f"t.{n}"), F.lit(0))).cast("decimal(38,6)" if n == "pct" else "long").alias(n) for n in names]), k)
+
+    return latest_progress(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(step)
+
+
+def overall(spark: SparkSession, path: str) -> DataFrame:
+    """batch_id, done, error, canceled, total, percent of what ``overall_progress`` keeps under ``path``."""
+    rows = _stores(spark, path)[1].read()
+    return rows.select("batch_id", "done", "error", "canceled", "total", round_half_up((F.col("pct") / F.col("total")).cast("double")).alias("percent"))
 
 
 def classify_errors(lines: DataFrame) -> DataFrame:
