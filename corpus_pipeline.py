@@ -72,7 +72,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL can't express trained taggers and permutation sketches; tests hold each stage against brute force.
+#: SQL can't express trained taggers and permutation sketches; tests hold the stages' operators against brute force, and run all stages once.
 ORACLE_SQL = None
 
 
