@@ -12,7 +12,7 @@ from cutlist.sources.shared import materialize, shared_dir
 from cutlist.streaming import stream
 
 from . import walk
-from .queries import _CUT, _DENSE, _LABEL, _LATEST, _jobs
+from .queries import _CUT, _DENSE, _LABEL, _LATEST, _SEGS, _jobs
 from .registry import query
 
 _NAMED = _DENSE + rf""", named as (select project_id, combo_idx, combo_id, '/out/' || {_LABEL} || '_' || regexp_replace(mname, '\.[^.]+$', '') || '_' || regexp_replace(cname, '\.[^.]+$', '') || '_' || (combo_idx + 1) || '.mp4' path
@@ -251,6 +251,41 @@ def progress_throttle(events: DataFrame) -> DataFrame:
     return progress.throttle(events).select("batch_id", "job_id", "seq")
 
 
+@query(
+    """with recursive f as (select seq, 7 * 60000 * (seq // 2000) + (seq % 2000) * 50 t, seq % 997 = 0 force_emit from render_events),
+ e as (select *, row_number() over (order by t, seq) k from f),
+ r as (select seq, t last, k, true sent from e where k = 1 union all
+  select e.seq, case when e.force_emit or e.t - r.last >= 200 then e.t else r.last end, e.k, e.force_emit or e.t - r.last >= 200 from r join e on e.k = r.k + 1)
+ select seq from r where sent""",
+    "render_events",
+)
+def progress_throttle_one_batch(events: DataFrame) -> DataFrame:
+    """All events in one batch, 50 ms apart for 100 s at a time: blocks that each depend on the one before."""
+    k = F.col("seq")
+    ms = F.floor(k / 2000) * (7 * 60000) + k % 2000 * 50
+    rows = events.select("seq", F.timestamp_millis(ms.cast("long")).alias("ts"), (k % 997 == 0).alias("force_emit"), F.lit(0).cast("long").alias("batch_id"))
+    return progress.throttle(rows).select("seq")
+
+
+@query(
+    _SEGS
+    + r""", x as (select combo_id, seg, path, seg = 1 and combo_idx % 5 = 0 or seg = 2 and combo_idx % 7 = 0 bad from i join (select combo_id, combo_idx from j) using (combo_id))
+ select combo_id, case when not bool_or(bad) then string_agg('file ''' || path || '''', chr(10) order by seg) end manifest, string_agg(cast(seg as varchar), ',' order by seg) filter (bad) bad_segs from x group by 1""",
+    "clips",
+    "hook_texts",
+)
+def io_write_manifests(clips_: DataFrame, hook_texts: DataFrame) -> DataFrame:
+    """Both outputs of one pass, read again; some paths have a line break."""
+    plan = _jobs(clips_, hook_texts, captions=False)
+    bad = (F.col("seg") == 1) & (F.col("combo_idx") % 5 == 0) | (F.col("seg") == 2) & (F.col("combo_idx") % 7 == 0)
+    rows = jobs.inputs(plan).join(plan.select("job_id", "combo_idx"), "job_id")
+    path = shared_dir(clips_.sparkSession)
+    io.write_manifests(rows.withColumn("path", F.when(bad, F.concat("path", F.lit("\n"))).otherwise(F.col("path"))), path)
+    made, rejected = io.read_manifests(clips_.sparkSession, path), io.read_manifests(clips_.sparkSession, path, rejected=True)
+    both = made.select("job_id", "manifest", F.lit(None).cast("string").alias("bad_segs")).unionByName(rejected.select("job_id", F.lit(None).cast("string").alias("manifest"), F.array_join("bad_segs", ",").alias("bad_segs")))
+    return both.join(plan.select("job_id", "combo_id"), "job_id").select("combo_id", "manifest", "bad_segs")
+
+
 @query(
     r"""select 'j' || source_id job_id, string_agg('Dialogue: 0,' || st || ',' || en || ',Default,,0,0,0,,' || t, chr(10) order by idx) lines from (select source_id, idx, regexp_replace(text, '[{}]', '', 'g') t, """
     + ", ".join(

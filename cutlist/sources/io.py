@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Names of the twelve fields of a caption style, here and in project files.
@@ -178,11 +178,30 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("job_id string, ass string").parquet(path)
 
 
-def render_manifest(inputs: DataFrame) -> DataFrame:
-    """job_id, manifest, rejected: a concat list for each job from rows of job_id, seg, path; line breaks in a path reject the job."""
+def _manifests(inputs: DataFrame) -> DataFrame:
+    """job_id, manifest, rejected and bad_segs, the places of paths with line breaks."""
     escaped = F.replace(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), F.lit("'"), F.lit("'\\''"))
     line = F.concat(F.lit("file '"), escaped, F.lit("'"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("seg", line.alias("line")))), lambda x: x["line"])
-    rejected = F.bool_or(F.col("path").rlike(r"[\r\n]"))
-    out = inputs.groupBy("job_id").agg(F.array_join(lines, "\n").alias("manifest"), rejected.alias("rejected"))
-    return out.withColumn("manifest", F.when(~F.col("rejected"), F.col("manifest")))
+    bad = F.array_sort(F.collect_list(F.when(F.col("path").rlike(r"[\r\n]"), F.col("seg"))))
+    out = inputs.groupBy("job_id").agg(F.array_join(lines, "\n").alias("manifest"), bad.alias("bad_segs")).withColumn("rejected", F.size("bad_segs") > 0)
+    return out.select("job_id", F.when(~F.col("rejected"), F.col("manifest")).alias("manifest"), "rejected", "bad_segs")
+
+
+def render_manifest(inputs: DataFrame) -> DataFrame:
+    """job_id, manifest, rejected: a concat list for each job from rows of job_id, seg, path; line breaks in a path reject the job."""
+    return _manifests(inputs).drop("bad_segs")
+
+
+def write_manifests(inputs: DataFrame, path: str) -> dict[str, int]:
+    """Write manifests and rejected jobs to folders of their own under ``path`` in one pass; returns how many of each were written."""
+    counts = Observation()
+    made = _manifests(inputs).observe(counts, F.count_if(~F.col("rejected")).alias("manifests"), F.count_if("rejected").alias("rejected"))
+    made.write.partitionBy("rejected").parquet(path)
+    return {k: int(v or 0) for k, v in counts.get.items()}
+
+
+def read_manifests(spark: SparkSession, path: str, rejected: bool = False) -> DataFrame:
+    """job_id and manifest of what ``write_manifests`` wrote, or job_id and bad_segs of the rejected jobs."""
+    rows = spark.read.schema("job_id string, manifest string, bad_segs array<int>, rejected boolean").parquet(path).filter(F.col("rejected") == rejected)
+    return rows.select("job_id", "bad_segs") if rejected else rows.select("job_id", "manifest")
