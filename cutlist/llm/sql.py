@@ -10,7 +10,6 @@ def _lower(column: str) -> str:
 
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
-#: Characters of web tokens, and up to 1000 of them.
 _ITEM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 OP2 = f"""with d as (select doc_id, regexp_extract_all({_lower('text')}, {_ITEM_WORDS}) w from documents),
