@@ -105,21 +105,21 @@ def _searched(blobs: DataFrame) -> DataFrame:
 
 
 def unseen(versions: DataFrame, known: DataFrame | None) -> DataFrame:
-    """blob, todo: the distinct blobs of ``versions`` (blob) with the rule versions that the ledger lacks for them."""
-    blobs = versions.select("blob").distinct()
+    """blob, todo, held: the distinct blobs of ``versions`` (blob), the rule versions that the ledger lacks for them, and how many rows bear them."""
+    blobs = versions.groupBy("blob").agg(F.count("*").alias("held"))
     every = F.array(*[F.lit(r.key) for r in RULES])
     if known is None:
         return blobs.withColumn("todo", every)
     seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
     left = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
-    return blobs.join(seen, "blob", "left").select("blob", left.alias("todo")).filter(F.size("todo") > 0)
+    return blobs.join(seen, "blob", "left").select("blob", left.alias("todo"), "held").filter(F.size("todo") > 0)
 
 
 def scan(versions: DataFrame, path: str) -> DataFrame:
     """Add the unseen blobs of ``versions`` (text) to the ledger at ``path``; returns the ledger.
 
     What is unseen is told by addresses alone; only texts of unseen blobs go on,
-    one for each.
+    one for each. An unseen blob may be that of a third of all rows.
     """
     spark = versions.sparkSession
     known = ledger(spark, path)
@@ -127,7 +127,10 @@ def scan(versions: DataFrame, path: str) -> DataFrame:
     if known is None:
         todo = texts.dropDuplicates(["blob"]).withColumn("todo", F.array(*[F.lit(r.key) for r in RULES]))
     else:
-        todo = texts.join(materialize(unseen(texts, known)), "blob").dropDuplicates(["blob"])
+        new = materialize(unseen(texts.select("blob"), known))
+        # a hot blob's rows are alike, so which task gets which of them is drawn
+        dealt = texts.withColumn("row", F.monotonically_increasing_id())
+        todo = join_counted(dealt, new, {"blob": "blob"}, "held", texts.count(), "inner", by=("row",)).drop("row").dropDuplicates(["blob"])
     _searched(todo).write.mode("append").parquet(path)
     return ledger(spark, path)
 
