@@ -15,8 +15,9 @@ on its words alone.
 Defined results: null and empty texts get the score of the bias; labels that are
 null, or whose id is, are left out; an id with several labels counts as toxic if
 one says so; with labels of one class alone every score is near that class, and
-without any near 0; texts of any length are read whole; repeated rows get equal
-scores; an empty table gives an empty table.
+without any near 0; texts of any length are read whole, and train by the distinct words
+they have, not by how often; of labelled rows that share an id the least text trains;
+repeated rows get equal scores; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,12 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .decontam import split_words
 
 TRAIN_ROWS = 6_000
 THRESHOLD = 0.3
 LIST_WORDS = 96
 FEATURES = 300
+#: Tokens that features are chosen among, at most; only their counts and rows come to the driver.
+CANDIDATES = 5_000
 #: Log ratio of rates that a listed token has at least.
 PURE = 2.0
 #: Lengths of word beginnings that are tokens.
@@ -73,32 +77,44 @@ def tokens(text: str | None) -> set[bytes]:
     return out
 
 
-def listed_tokens(texts: list[str | None], toxic: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Tokens of toxic rows that stand in toxic rows far more often: the strongest as voters, and all that may be features.
+def _low(c, rest, n_pos: int, n_neg: int, log, sqrt):
+    """Lower bound of the log ratio of a token's rates in toxic and other rows, of numbers or columns: rare tokens need a purer record."""
+    return log((c + 0.5) / (n_pos + 1)) - log((rest + 0.5) / (n_neg + 1)) - 1.3 * sqrt(1 / (c + 0.5) + 1 / (rest + 0.5))
 
-    Toxic rows name the candidates, the others are only counted for them.
+
+def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, toxic, token for each distinct token of each row (doc_id, toxic, text)."""
+    for batch in batches:
+        found = [sorted(tokens(t)) for t in batch.column(2).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        flat = pa.array([w for f in found for w in f], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), flat], names=["doc_id", "toxic", "token"])
+
+
+def candidates(rows: DataFrame, n_pos: int, n_neg: int) -> list[tuple[bytes, list[int], int]]:
+    """Tokens that stand in toxic rows far more often, with the ids of the toxic rows that have them and the number of others.
+
+    Counted by Spark over whole texts; of those beyond ``CANDIDATES`` the strongest come to the driver.
     """
-    pos: Counter = Counter()
-    for t in (t for t, y in zip(texts, toxic, strict=True) if y):
-        pos.update(tokens(t))
-    candidates = {w: c for w, c in pos.items() if c > 2}
-    neg: Counter = Counter()
-    for t in (t for t, y in zip(texts, toxic, strict=True) if not y):
-        neg.update(tokens(t) & candidates.keys())
-    n_pos, n_neg = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-
-    def low(c: float, w: bytes) -> float:
-        """Lower bound of the log ratio of rates: rare tokens need a purer record."""
-        return float(np.log((c + 0.5) / (n_pos + 1)) - np.log((neg[w] + 0.5) / (n_neg + 1)) - 1.3 * np.sqrt(1 / (c + 0.5) + 1 / (neg[w] + 0.5)))
-
-    able = {w for w, c in candidates.items() if low(c, w) > PURE}
-    rows = [tokens(t) & able for t, y in zip(texts, toxic, strict=True) if y]
+    each = rows.select("doc_id", "toxic", "text").mapInArrow(_tokens_of, "doc_id bigint, toxic boolean, token binary")
+    count = each.groupBy("token").agg(F.count_if("toxic").alias("c"), F.count_if(~F.col("toxic")).alias("rest")).filter("c > 2")
+    count = count.withColumn("low", _low(F.col("c"), F.col("rest"), n_pos, n_neg, F.log, F.sqrt)).filter(F.col("low") > PURE)
+    able = materialize(count.orderBy(F.desc(F.col("low") * F.col("c")), "token").limit(CANDIDATES).select("token", "rest"))
+    held = each.filter("toxic").join(F.broadcast(able), "token").groupBy("token", "rest").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    return sorted((bytes(r["token"]), r["ids"], r["rest"]) for r in held.collect())
+
+
+def listed_tokens(found: list[tuple[bytes, list[int], int]], n_pos: int, n_neg: int) -> tuple[list[bytes], list[bytes]]:
+    """Of the ``candidates``, the strongest as voters, and all that may be features."""
+    lows = {w: _low(len(ids), rest, n_pos, n_neg, np.log, np.sqrt) for w, ids, rest in found}
+    place = {i: k for k, i in enumerate(sorted({i for _, ids, _ in found for i in ids}))}
+    holders = {w: [place[i] for i in ids] for w, ids, _ in found}
+    rows: list[set[bytes]] = [set() for _ in place]
+    for w, h in holders.items():
+        for i in h:
+            rows[i].add(w)
     # greedily, by what a token adds: rows count the less the more of the chosen tokens they have
     worth: Counter = Counter()
-    holders: dict[bytes, list[int]] = {}
-    for i, have in enumerate(rows):
-        for w in have:
-            holders.setdefault(w, []).append(i)
     seen = np.zeros(len(rows))
     alike: dict[tuple[int, ...], bytes] = {}
     for w, h in holders.items():  # of tokens in the same rows, the longest word stands for all
@@ -107,7 +123,7 @@ def listed_tokens(texts: list[str | None], toxic: np.ndarray) -> tuple[list[byte
         worth[w] = len(h)
     chosen: list[bytes] = []
     while worth and len(chosen) < FEATURES:
-        w = max(worth, key=lambda w: (low(candidates[w], w) * worth[w], len(w), w))
+        w = max(worth, key=lambda w: (lows[w] * worth[w], len(w), w))
         if worth[w] < 1:
             break
         chosen.append(w)
@@ -120,15 +136,15 @@ def listed_tokens(texts: list[str | None], toxic: np.ndarray) -> tuple[list[byte
     return chosen[:LIST_WORDS], chosen
 
 
-def votes(rows: list[set[bytes]], texts: list[str | None], listed: list[bytes]) -> np.ndarray:
-    """Votes of all voters on each row: 1 toxic, 0 clean, -1 none.
+def votes(rows: list[set[bytes]], listed: list[bytes], masked: list[bool], shouts: list[bool]) -> np.ndarray:
+    """Votes of all voters on each row, known by its tokens of interest and two patterns: 1 toxic, 0 clean, -1 none.
 
     A voter for each listed token, then lists (insults; two, three or none of
     the listed), and patterns (masked words; shouting beside a listed token).
     """
     lists = frozenset(listed)
     out = np.full((len(rows), len(listed) + 7), -1, np.int8)
-    for i, (have, text) in enumerate(zip(rows, texts, strict=True)):
+    for i, have in enumerate(rows):
         hits, insults = lists & have, INSULTS & have
         for j, w in enumerate(listed):
             if w in hits:
@@ -139,8 +155,8 @@ def votes(rows: list[set[bytes]], texts: list[str | None], listed: list[bytes])
             1 if len(hits) > 2 else -1,
             -1 if hits else 0,
             -1 if insults or hits else 0,
-            1 if _MASKED.search(text or "") and hits else -1,
-            1 if _SHOUT.search(text or "") and hits else -1,
+            1 if masked[i] and hits else -1,
+            1 if shouts[i] and hits else -1,
         ]
     return out
 
@@ -235,38 +251,55 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 25) -> n
     return w
 
 
-def train(rows: list[tuple[str | None, int]]) -> Model:
-    texts = [t for t, _ in rows]
-    toxic = np.array([bool(y) for _, y in rows], bool)
-    if not len(rows) or toxic.all() or not toxic.any():
-        return Model({}, 30.0 if len(rows) and toxic.all() else -30.0)
-    listed, chosen = listed_tokens(texts, toxic)
-    chosen = sorted({*chosen, *INSULTS})
-    at = {w: j for j, w in enumerate(chosen)}
-    have = [at.keys() & tokens(t) for t in texts]
-    soft, _ = posterior(votes(have, texts, listed), float(toxic.mean()))
-    x = np.zeros((len(texts), len(chosen) + 1))
+def train(chosen: list[bytes], listed: list[bytes], rows: list[tuple[bool, bool, bool, list[int]]]) -> Model:
+    """A model from rows of toxic, masked, shouts and the places of the tokens in ``chosen`` that a text has."""
+    toxic = np.array([r[0] for r in rows], bool)
+    have = [{chosen[j] for j in r[3]} for r in rows]
+    vote = votes(have, listed, [r[1] for r in rows], [r[2] for r in rows])
+    soft, _ = posterior(vote, float(toxic.mean()))
+    x = np.zeros((len(rows), len(chosen) + 1))
     x[:, -1] = 1
-    for i, words in enumerate(have):
-        x[i, [at[w] for w in words]] = 1
+    for i, r in enumerate(rows):
+        x[i, r[3]] = 1
     w = _logistic(x, soft, ridge=1.0)
     margin = x @ w
     scale, shift = _logistic(np.stack([margin, np.ones(len(margin))], axis=1), toxic.astype(float), ridge=1e-3)
-    return Model({word: float(w[j]) for word, j in at.items() if abs(w[j]) > 1e-4}, float(w[-1]), float(max(scale, 1e-3)), float(shift))
+    weights = {word: float(w[j]) for j, word in enumerate(chosen) if abs(w[j]) > 1e-4}
+    return Model(weights, float(w[-1]), float(max(scale, 1e-3)), float(shift))
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """A model for ``docs`` (doc_id, text) from ``labels`` (doc_id, toxic).
 
-    Ids are picked first, so that only the picked rows' texts move.
+    Ids are picked first, so that only the picked rows' texts move, one for each
+    id: the least, if several share it. Texts stay with Spark: what comes to the
+    driver is the candidates' rows, then for each row which of the chosen tokens
+    it has.
     """
     usable = labels.select("doc_id", "toxic").dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = usable.count()
     bound = int(min(1.0, TRAIN_ROWS / max(1, n)) * (1 << 63))
     picked = usable.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= F.lit(min(bound, (1 << 63) - 1)))
     # TRAIN_ROWS bounds what is sent
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = materialize(rows.select("doc_id", (F.col("toxic") != 0).alias("toxic"), "text"))
+    share = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n_pos, n_neg = share.get(True, 0), share.get(False, 0)
+    if not n_pos or not n_neg:
+        return Model({}, 30.0 if n_pos else -30.0)
+    listed, chosen = listed_tokens(candidates(rows, n_pos, n_neg), n_pos, n_neg)
+    chosen = sorted({*chosen, *INSULTS})
+    place = {w: j for j, w in enumerate(chosen)}
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            have = pa.array([sorted(place[w] for w in place.keys() & tokens(t)) for t in texts], pa.list_(pa.int32()))
+            flags = [pa.array([bool(p.search(t or "")) for t in texts], pa.bool_()) for p in (_MASKED, _SHOUT)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *flags, have], names=["doc_id", "toxic", "masked", "shouts", "have"])
+
+    out = rows.select("doc_id", "toxic", "text").mapInArrow(seen, "doc_id bigint, toxic boolean, masked boolean, shouts boolean, have array<int>").collect()
+    return train(chosen, listed, [tuple(r)[1:] for r in sorted(out, key=lambda r: r["doc_id"])])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
