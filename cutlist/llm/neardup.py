@@ -12,12 +12,14 @@
    are checked against the centre on full sets: work and rows grow with the
    bucket, not with its square.
 4. Members outside their centre's component are then held against the other
-   members of that centre. Similar sets share four fifths of each; so either both
-   have so much in common with the centre already, or they share shingles that the
-   centre lacks. The latter are found by the rarest of these shingles, as many as
-   must hold a common one; unlike texts that share one block with the centre
-   never meet. The former are compared by bounds, dealt to many tasks. Pairs that
-   the bounds leave open are checked on full sets.
+   members of that centre. Similar sets share four fifths of each; so either they
+   share shingles that the centre lacks, or both have so much in common with the
+   centre already. The former meet by the rarest of the shingles that the centre
+   lacks, the latter by the rarest of all their shingles, in either case as many as
+   must hold a common one: unlike parts of one long text never meet. Places among
+   the shared shingles and histograms bound what a pair can share; what the bounds
+   leave open is checked on full sets. Members that meet by one shingle are dealt to
+   tasks in pairs of blocks of ids alone.
 5. Links are joined to components by rounds of contraction.
 
 A class, a bucket, a centre or a component may hold a third of all rows: joins on
@@ -50,8 +52,8 @@ SIMILARITY = 80
 CHUNK = 200_000
 #: Cells of the histograms that bound what two sets can share.
 CELLS = 512
-#: Open members of one centre that one task holds against the others at a time.
-MEMBERS = 200
+#: Members of one centre with one item that are held against each other in one task.
+MEMBERS = 10_000
 
 
 def shingles(text: Column, k: int) -> Column:
@@ -210,7 +212,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _linked(o: Column, n: Column) -> Column:
     """100 o >= SIMILARITY (n - o), where n is the sum of both sizes."""
-    return (100 + SIMILARITY) * o >= SIMILARITY * n
+    return (100 + SIMILARITY) * o.cast("long") >= SIMILARITY * n.cast("long")
 
 
 def grouped(docs: DataFrame, k: int) -> DataFrame:
@@ -254,7 +256,7 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
 
 def _least_shared(n: Column) -> Column:
     """What a set of ``n`` shares at least with any set that it is linked to."""
-    return F.ceil(n * SIMILARITY / 100).cast("int")
+    return F.ceil(n.cast("long") * SIMILARITY / 100).cast("int")
 
 
 def _open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,33 +278,57 @@ def _open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFram
     cells = materialize(sets.select("cid", "sh").mapInArrow(_histograms, "cid bigint, cells array<int>"))
 
     # those that must share shingles which the centre lacks meet by the rarest of these
-    own = materialize(named.select("c", "a", F.explode("own").alias("e")))
-    again = materialize(own.groupBy("c", "e").agg(F.count("*").alias("n")).filter("n > 1"))
-    common = join_counted(own, again.withColumn("often", F.col("n")), {"c": "c", "e": "e"}, "n", own.count(), "inner", hint="merge")
+    narrow = named.select("c", "a", "na", "la", "o", "open", (F.col("must") <= 0).alias("near"), F.greatest("must", F.lit(1)).alias("must"))
+    met = _meeting(narrow, named.select("c", "a", "open", F.col("own").alias("items")))
+
+    # those that may share enough of the centre alone meet by the rarest of all their shingles
+    near = named.filter("must <= 0")
+    some = near.groupBy("c").agg(F.count("*").alias("held"), F.count_if("open").alias("n_open")).filter("n_open > 0 and held > 1")
+    near = materialize(join_counted(near.select("c", "a", "na", "la", "open"), some.select("c", "held"), {"c": "c"}, "held", named.count(), "inner"))
+    times = near.groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("n"))
+    whole = sets.join(times.hint("merge"), "cid").select("cid", F.col("sh").alias("items"), "n")
+    whole = join_counted(near.select("c", "a", "open"), whole, {"a": "cid"}, "n", near.count(), "inner", hint="merge")
+    near = near.withColumn("o", F.lit(0)).withColumn("near", F.lit(False)).withColumn("must", _least_shared(F.col("na")))
+    met = materialize(met.union(_meeting(near, whole)).distinct())
+
+    x, y = (cells.select(F.col("cid").alias(a), F.col("cells").alias(c)) for a, c in (("a", "x"), ("ya", "y")))
+    met = met.join(x.hint("merge"), "a").join(y.hint("merge"), "ya").filter(_linked(_shared("x", "y"), F.col("na") + F.col("yna")))
+    return met.select(F.greatest("a", "ya").alias("a"), F.least("a", "ya").alias("b")).distinct()
+
+
+def _meeting(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """a, na, ya, yna: members of one centre, in different components and one of them open, that share one of their rarest items and that bounds leave open.
+
+    ``rows`` holds c, a, na, la, open, o (what a member may share with others beside its
+    items), must (how many items it shares at least with a set that it is linked to) and
+    near (two of these don't meet here); ``items`` holds c, a, open and the items, as an
+    array. Items are ranked by how many members of the centre have them. Those of one
+    member alone, or of no open one, are never shared; of the rest, so many of the rarest
+    are kept that a set which shares ``must`` of all has one of them. Members with one item
+    that are more than ``MEMBERS`` are cut into blocks, and each pair of blocks may be
+    another task's.
+    """
+    held = materialize(items.select("c", "a", "open", F.explode("items").alias("e")))
+    often = held.groupBy("c", "e").agg(F.count("*").alias("often"), F.count_if("open").alias("n_open")).filter("often > 1 and n_open > 0")
+    often = materialize(often.select("c", "e", "often", F.col("often").alias("n")))
+    common = join_counted(held.select("c", "a", "e"), often, {"c": "c", "e": "e"}, "n", held.count(), "inner", hint="merge")
     by = Window.partitionBy("c", "a")
-    common = materialize(common.withColumn("place", F.row_number().over(by.orderBy("often", "e"))).withColumn("s", F.count("*").over(by).cast("int")))
-    narrow = named.select("c", "a", "na", "la", "o", "open", "must", F.size("own").alias("n_own"))
-    first = common.join(narrow, ["c", "a"]).filter(F.col("n_own") - F.col("s") + F.col("place") <= F.col("n_own") - F.greatest("must", F.lit(1)) + 1)
-    first = materialize(first.select("c", "e", "a", "na", "la", "o", "s", "open", "must"))
-    other = first.select("c", "e", *[F.col(x).alias(f"y{x}") for x in ("a", "na", "la", "o", "s", "open", "must")])
-    apart = (F.col("la") != F.col("yla")) & (F.col("open") | F.col("yopen"))
-    n = F.col("na") + F.col("yna")
-    most = F.least(F.col("o"), F.col("yo")) + F.least(F.col("s"), F.col("ys"))
-    met = first.join(other, ["c", "e"]).filter(apart & (F.col("a") < F.col("ya")) & ((F.col("must") > 0) | (F.col("ymust") > 0)) & _linked(most, n))
-    met = met.select("a", "na", "ya", "yna").distinct()
-    met = met.join(cells.select(F.col("cid").alias("a"), F.col("cells").alias("x")), "a").join(cells.select(F.col("cid").alias("ya"), F.col("cells").alias("y")), "ya")
-    met = met.filter(_linked(_shared("x", "y"), n)).select("a", "ya")
-
-    # those that may share enough of the centre alone: the open ones, some at a time, against all
-    shared = common.groupBy("c", "a").agg(F.count("*").cast("int").alias("s"))
-    near = named.filter("must <= 0").join(shared, ["c", "a"], "left").fillna(0, ["s"]).join(cells.withColumnRenamed("cid", "a"), "a")
-    near = materialize(near.select("c", "a", "na", "la", "o", "s", "open", "cells", (F.floor(F.col("n_open") / MEMBERS) + 1).cast("int").alias("parts")))
-    left = near.filter("open").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    right = near.select(F.col("c").alias("yc"), *[F.col(x).alias(f"y{x}") for x in ("a", "na", "la", "o", "s", "open", "cells")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("ypart"))
-    once = ~F.col("yopen") | (F.col("a") < F.col("ya"))
-    held = left.join(right, (F.col("c") == F.col("yc")) & (F.col("part") == F.col("ypart")) & (F.col("la") != F.col("yla")) & once & _linked(most, n) & _linked(_shared("cells", "ycells"), n))
-    both = met.union(held.select("a", "ya"))
-    return both.select(F.greatest("a", "ya").alias("a"), F.least("a", "ya").alias("b")).distinct()
+    placed = common.withColumn("place", F.row_number().over(by.orderBy("often", "e"))).withColumn("s", F.count("*").over(by).cast("int"))
+    # in the ranking the items that nobody shares come before these
+    first = placed.drop("often").join(rows.hint("merge"), ["c", "a"]).filter(F.col("place") <= F.col("s") - F.col("must") + 1)
+    first = materialize(first.select("c", "e", "a", "na", "la", "o", "s", "place", "open", "near"))
+    large = first.groupBy("c", "e").agg(F.count("*").alias("n")).filter(F.col("n") > MEMBERS)
+    large = large.select("c", "e", "n", (F.floor(F.col("n") / MEMBERS) + 1).cast("int").alias("blocks"))
+    first = join_counted(first, materialize(large), {"c": "c", "e": "e"}, "n", first.count()).fillna(1, ["blocks"])
+    first = first.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = first.withColumn("other", every)
+    right = first.select("c", "e", F.col("block").alias("other"), every.alias("block"), *[F.col(v).alias(f"y{v}") for v in ("a", "na", "la", "o", "s", "place", "open", "near")])
+    # common items stand before this one, behind it, or are it
+    most = F.least("o", "yo") + F.least("place", "yplace") + F.least(F.col("s") - F.col("place"), F.col("ys") - F.col("yplace"))
+    apart = (F.col("la") != F.col("yla")) & (F.col("open") | F.col("yopen")) & (F.col("a") < F.col("ya")) & ~(F.col("near") & F.col("ynear"))
+    both = left.join(right.hint("merge"), ["c", "e", "block", "other"]).filter(apart & _linked(most, F.col("na") + F.col("yna")))
+    return both.select("a", "na", "ya", "yna").distinct()
 
 
 def _shared(x: str, y: str) -> Column:
