@@ -15,8 +15,12 @@
    members of that centre. Similar sets share four fifths of each; so either they
    share shingles that the centre lacks, or both have so much in common with the
    centre already. The former meet by the rarest of the shingles that the centre
-   lacks, the latter by the rarest of all their shingles, in either case as many as
-   must hold a common one: unlike parts of one long text never meet. Places among
+   lacks. The latter are held by their differences from the centre, in both
+   directions: the distance of two sets is the sum of their differences less twice
+   what these share, so a member that is not linked with the centre shares some of
+   its differences with every set that it is linked to. They meet by the rarest of
+   these, in either case as many as must hold a common one: unlike parts of one long
+   text, and copies with changes in unlike places, never meet. Places among
    the shared shingles and histograms bound what a pair can share; what the bounds
    leave open is checked on full sets. Members that meet by one shingle are dealt to
    tasks in pairs of blocks of ids alone.
@@ -54,6 +58,8 @@ CHUNK = 200_000
 CELLS = 512
 #: Members of one centre with one item that are held against each other in one task.
 MEMBERS = 10_000
+#: Members of one centre with about as many differences from it are a class: the largest count over the least, at most.
+CLASS_RATIO = 1.15
 
 
 def shingles(text: Column, k: int) -> Column:
@@ -199,15 +205,17 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a, b (written) with na, nb, o (size of the intersection) and own (shingles of a that b hasn't)."""
+    """Pairs a, b (written) with na, nb, o (size of the intersection), own (shingles of a that b hasn't) and lost (those of b that a hasn't; null where a can't be ``near``)."""
     met = pairs.groupBy(F.col("b").alias("cid")).agg(F.count("*").alias("n"))
     x = sets.select(F.col("cid").alias("a"), F.col("sh").alias("xa"))
     # pairs grow with the rows, so sets move to them at every size
     y = sets.join(met.hint("merge"), "cid").select("cid", F.col("sh").alias("xb"), "n")
     both = join_counted(pairs.hint("merge").join(x, "a"), y, {"b": "cid"}, "n", pairs.count(), "inner", hint="merge")
     own = F.array_except("xa", "xb")
-    out = both.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), own.alias("own"))
-    return out.withColumn("o", F.col("na") - F.size("own"))
+    out = both.select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), own.alias("own"), "xa", "xb")
+    out = out.withColumn("o", F.col("na") - F.size("own"))
+    lost = F.when(_least_shared(F.col("na")) <= F.col("o"), F.array_except("xb", "xa"))
+    return out.withColumn("lost", lost).drop("xa", "xb")
 
 
 def _linked(o: Column, n: Column) -> Column:
@@ -239,7 +247,7 @@ def grouped(docs: DataFrame, k: int) -> DataFrame:
     stars = materialize(_compared(pairs, sets))
     edges = stars.filter(_linked(F.col("o"), F.col("na") + F.col("nb"))).select("a", "b")
     label = components(edges)
-    rest = materialize(_compared(materialize(_open_pairs(stars, label, sets)), sets).drop("own"))
+    rest = materialize(_compared(materialize(_open_pairs(stars, label, sets)), sets).drop("own", "lost"))
     further = rest.filter(_linked(F.col("o"), F.col("na") + F.col("nb"))).select("a", "b")
     label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(further))
 
@@ -263,8 +271,16 @@ def _open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFram
     """Pairs a, b of one centre, in different components, that the bounds do not rule out.
 
     ``o`` of a member is what it shares with the centre, ``own`` what the centre
-    lacks, ``must`` how many of its own shingles a linked set shares with it at
-    least.
+    lacks, ``lost`` what it lacks of the centre, ``must`` how many of its own
+    shingles a linked set shares with it at least. It is near if that may be none.
+
+    Two near members with ``d`` and ``e`` differences from the centre, ``m`` of them
+    the same, have a distance of d + e - 2m. It is at most r (na + yna) where they
+    are linked, with r = (100 - SIMILARITY) / (100 + SIMILARITY). As e is no less
+    than the difference in size from the centre, nor than d - r (na + yna), m is at
+    least (d - r (na + nb)) / (1 + r) for every size of the other: above zero for a
+    member that is not linked with the centre. For the others of one class of ``d``
+    the least of their differences and the largest of their sizes say more.
     """
     met = stars.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"))
     of = label.select("node", "label")
@@ -272,24 +288,31 @@ def _open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFram
     met = met.join(of, "node", "left").select("node", F.col("label").alias("lc"), "n")
     named = join_counted(named, met, {"c": "node"}, "n", stars.count())
     named = named.withColumn("la", F.coalesce("la", "a")).withColumn("lc", F.coalesce("lc", "c"))
-    named = materialize(named.withColumn("open", F.col("la") != F.col("lc")).withColumn("must", _least_shared(F.col("na")) - F.col("o")).drop("nb", "lc"))
+    named = materialize(named.withColumn("open", F.col("la") != F.col("lc")).withColumn("must", _least_shared(F.col("na")) - F.col("o")).drop("lc"))
     centres = named.groupBy("c").agg(F.count("*").alias("held"), F.count_if("open").alias("n_open")).filter("n_open > 0")
     named = materialize(join_counted(named, centres, {"c": "c"}, "held", named.count(), "inner"))
     cells = materialize(sets.select("cid", "sh").mapInArrow(_histograms, "cid bigint, cells array<int>"))
 
     # those that must share shingles which the centre lacks meet by the rarest of these
-    narrow = named.select("c", "a", "na", "la", "o", "open", (F.col("must") <= 0).alias("near"), F.greatest("must", F.lit(1)).alias("must"))
+    narrow = named.select("c", "a", "na", "la", "o", F.lit(0).alias("twice"), "open", (F.col("must") <= 0).alias("near"), F.greatest("must", F.lit(1)).alias("must"), F.lit(0).alias("k"), F.lit(0).alias("t"))
     met = _meeting(narrow, named.select("c", "a", "open", F.col("own").alias("items")))
 
-    # those that may share enough of the centre alone meet by the rarest of all their shingles
+    # those that may share enough of the centre alone meet by the rarest of their differences from it
     near = named.filter("must <= 0")
     some = near.groupBy("c").agg(F.count("*").alias("held"), F.count_if("open").alias("n_open")).filter("n_open > 0 and held > 1")
-    near = materialize(join_counted(near.select("c", "a", "na", "la", "open"), some.select("c", "held"), {"c": "c"}, "held", named.count(), "inner"))
-    times = near.groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("n"))
-    whole = sets.join(times.hint("merge"), "cid").select("cid", F.col("sh").alias("items"), "n")
-    whole = join_counted(near.select("c", "a", "open"), whole, {"a": "cid"}, "n", near.count(), "inner", hint="merge")
-    near = near.withColumn("o", F.lit(0)).withColumn("near", F.lit(False)).withColumn("must", _least_shared(F.col("na")))
-    met = materialize(met.union(_meeting(near, whole)).distinct())
+    near = join_counted(near.select("c", "a", "na", "nb", "la", "open", F.concat("own", "lost").alias("items")), some.select("c", "held"), {"c": "c"}, "held", named.count(), "inner")
+    near = materialize(near.withColumn("d", F.size("items")))
+    near = near.withColumn("k", F.floor(F.log("d") / F.log(F.lit(CLASS_RATIO))).cast("int"))
+    kinds = near.groupBy("c", "k").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.max("na").alias("na"), F.max("open").alias("open"))
+    kinds = materialize(kinds.groupBy("c").agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("k").alias("t"), "d", "na", "open")).alias("kinds")))
+    dealt = join_counted(near.select("c", "a", "na", "nb", "la", "open", "d", "k"), kinds, {"c": "c"}, "n", near.count(), "inner")
+    dealt = dealt.withColumn("other", F.explode("kinds")).drop("kinds").filter(F.col("open") | F.col("other.open"))
+    long = lambda name: F.col(name).cast("long")
+    any_ = F.ceil(((100 + SIMILARITY) * long("d") - (100 - SIMILARITY) * (long("na") + long("nb"))) / 200)
+    of_class = F.ceil(((100 + SIMILARITY) * (long("d") + long("other.d")) - (100 - SIMILARITY) * (long("na") + long("other.na"))) / (2 * (100 + SIMILARITY)))
+    must = F.greatest(any_, of_class, F.lit(1)).cast("int")
+    by_difference = dealt.select("c", "a", "na", "la", F.lit(0).alias("o"), (F.col("na") - F.col("d")).alias("twice"), "open", F.lit(False).alias("near"), must.alias("must"), "k", F.col("other.t").alias("t"))
+    met = materialize(met.union(_meeting(by_difference, near.select("c", "a", "open", "items"))).distinct())
 
     x, y = (cells.select(F.col("cid").alias(a), F.col("cells").alias(c)) for a, c in (("a", "x"), ("ya", "y")))
     met = met.join(x.hint("merge"), "a").join(y.hint("merge"), "ya").filter(_linked(_shared("x", "y"), F.col("na") + F.col("yna")))
@@ -299,10 +322,11 @@ def _open_pairs(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFram
 def _meeting(rows: DataFrame, items: DataFrame) -> DataFrame:
     """a, na, ya, yna: members of one centre, in different components and one of them open, that share one of their rarest items and that bounds leave open.
 
-    ``rows`` holds c, a, na, la, open, o (what a member may share with others beside its
-    items), must (how many items it shares at least with a set that it is linked to) and
-    near (two of these don't meet here); ``items`` holds c, a, open and the items, as an
-    array. Items are ranked by how many members of the centre have them. Those of one
+    ``rows`` holds c, a, na, la, open, what a member may share with others beside its
+    items (of o the lesser of two members' counts, and of twice half of their sum), near
+    (two of these don't meet here), and for the others of one class t, where its own is
+    k, must (how many items it shares at least with a set of these that it is linked to);
+    ``items`` holds c, a, open and the items, as an array. Items are ranked by how many members of the centre have them. Those of one
     member alone, or of no open one, are never shared; of the rest, so many of the rarest
     are kept that a set which shares ``must`` of all has one of them. Members with one item
     that are more than ``MEMBERS`` are cut into blocks, and each pair of blocks may be
@@ -316,18 +340,20 @@ def _meeting(rows: DataFrame, items: DataFrame) -> DataFrame:
     placed = common.withColumn("place", F.row_number().over(by.orderBy("often", "e"))).withColumn("s", F.count("*").over(by).cast("int"))
     # in the ranking the items that nobody shares come before these
     first = placed.drop("often").join(rows.hint("merge"), ["c", "a"]).filter(F.col("place") <= F.col("s") - F.col("must") + 1)
-    first = materialize(first.select("c", "e", "a", "na", "la", "o", "s", "place", "open", "near"))
+    first = materialize(first.select("c", "e", "a", "na", "la", "o", "twice", "s", "place", "open", "near", "k", "t"))
     large = first.groupBy("c", "e").agg(F.count("*").alias("n")).filter(F.col("n") > MEMBERS)
     large = large.select("c", "e", "n", (F.floor(F.col("n") / MEMBERS) + 1).cast("int").alias("blocks"))
     first = join_counted(first, materialize(large), {"c": "c", "e": "e"}, "n", first.count()).fillna(1, ["blocks"])
     first = first.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = first.withColumn("other", every)
-    right = first.select("c", "e", F.col("block").alias("other"), every.alias("block"), *[F.col(v).alias(f"y{v}") for v in ("a", "na", "la", "o", "s", "place", "open", "near")])
+    left = first.filter("open").withColumn("other", every)
+    right = first.select("c", "e", F.col("k").alias("t"), F.col("t").alias("k"), F.col("block").alias("other"), every.alias("block"), *[F.col(v).alias(f"y{v}") for v in ("a", "na", "la", "o", "twice", "s", "place", "open", "near")])
     # common items stand before this one, behind it, or are it
     most = F.least("o", "yo") + F.least("place", "yplace") + F.least(F.col("s") - F.col("place"), F.col("ys") - F.col("yplace"))
-    apart = (F.col("la") != F.col("yla")) & (F.col("open") | F.col("yopen")) & (F.col("a") < F.col("ya")) & ~(F.col("near") & F.col("ynear"))
-    both = left.join(right.hint("merge"), ["c", "e", "block", "other"]).filter(apart & _linked(most, F.col("na") + F.col("yna")))
+    most = 2 * most + F.col("twice") + F.col("ytwice")
+    # one of the two is open; where both are, they meet once
+    apart = (F.col("la") != F.col("yla")) & (~F.col("yopen") | (F.col("a") < F.col("ya"))) & ~(F.col("near") & F.col("ynear"))
+    both = left.join(right.hint("merge"), ["c", "e", "k", "t", "block", "other"]).filter(apart & _linked(most, 2 * (F.col("na") + F.col("yna"))))
     return both.select("a", "na", "ya", "yna").distinct()
 
 
