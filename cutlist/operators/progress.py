@@ -129,7 +129,14 @@ class _Blocks:
         return to
 
 
-def throttle(events: DataFrame, every_ms: int = THROTTLE_MS, block: int = BLOCK) -> DataFrame:
+def _whole_ms(micros: Column) -> Column:
+    """Microseconds rounded to milliseconds, halves away from zero."""
+    size = F.abs(micros) + 500
+    size = size - size % 1000
+    return F.when(micros < 0, -size).otherwise(size)
+
+
+def throttle(events: DataFrame, every_ms: int = THROTTLE_MS, block: int = BLOCK, whole_ms: bool = False) -> DataFrame:
     """Events (batch_id, seq, ts, force_emit) that are sent: forced ones, and those 200 ms after the last sent one.
 
     Each depends on the one sent before. A batch is cut into blocks of ``block``
@@ -142,16 +149,22 @@ def throttle(events: DataFrame, every_ms: int = THROTTLE_MS, block: int = BLOCK)
     such blocks. So one batch is spread over all tasks, and a task holds the events
     of some blocks.
 
-    Rows of equal time go by ``seq``. Rows without batch or time are left out.
+    Rows of equal time go by ``seq``. Rows without batch or time are left out. With
+    ``whole_ms`` the time between two is told by a clock of milliseconds, to which
+    times are rounded; their order stays that of the times themselves.
     """
     every = every_ms * 1000
     length = block * max(every, 1)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    placed = events.filter("batch_id is not null and ts is not null").withColumn("block", F.floor(micros / length).cast("long")).withColumn("at", F.pmod(micros, F.lit(length)))
+    clock = _whole_ms(micros) if whole_ms else micros
+    placed = events.filter("batch_id is not null and ts is not null").withColumn("block", F.floor(clock / length).cast("long")).withColumn("at", F.pmod(clock, F.lit(length)))
+    order = ["at", "seq"]
+    if whole_ms:
+        placed, order = placed.withColumn("exact", micros), ["at", "exact", "seq"]
     batch = events.schema["batch_id"].dataType.simpleString()
 
     def sorted_blocks(rows: DataFrame) -> DataFrame:
-        return rows.repartition("batch_id", "block").sortWithinPartitions("batch_id", "block", "at", "seq")
+        return rows.repartition("batch_id", "block").sortWithinPartitions("batch_id", "block", *order)
 
     def ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _whole_blocks(parts):
@@ -171,7 +184,7 @@ def throttle(events: DataFrame, every_ms: int = THROTTLE_MS, block: int = BLOCK)
                 "left": np.r_[b.at[out[early]], left],
             })
 
-    narrow = placed.select("batch_id", "block", "at", "seq", "force_emit")
+    narrow = placed.select("batch_id", "block", *order, "force_emit")
     doors = materialize(sorted_blocks(narrow).mapInPandas(ends, f"batch_id {batch}, block long, since long, left long"))
     entered = materialize(_entered(doors, every, length))
 
@@ -191,7 +204,8 @@ def throttle(events: DataFrame, every_ms: int = THROTTLE_MS, block: int = BLOCK)
 
     # a block's entry comes first among its rows
     rows = placed.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("since", F.lit(None).cast("long"))
-    rows = rows.unionByName(entered.withColumn("at", F.lit(-1).cast("long")), allowMissingColumns=True)
+    entered = entered.withColumns({c: F.lit(-1).cast("long") for c in order if c != "seq"})
+    rows = rows.unionByName(entered, allowMissingColumns=True)
     return sorted_blocks(rows).mapInPandas(send, rows.schema).select(*[F.col(f.name).cast(f.dataType) for f in events.schema])
 
 
