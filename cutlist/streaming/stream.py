@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +76,7 @@ def _timeout(forget_ms: int | None) -> str:
 def throttle(events: DataFrame, every_ms: int = progress.THROTTLE_MS, forget_ms: int | None = None) -> DataFrame:
     """Events that are sent, by event time: forced ones, and those 200 ms after the last sent; one time is kept for each batch id.
 
-    The same as the batch form if events come in their order; one that comes
+    The same as the batch form with ``whole_ms`` if events come in their order; one that comes
     after a later one of its batch is held against the last that was sent. What
     is kept for a batch goes ``forget_ms`` after its last event, if given.
     """
@@ -87,7 +88,8 @@ def throttle(events: DataFrame, every_ms: int = progress.THROTTLE_MS, forget_ms:
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
         keep = []
-        for ts, force in zip(rows["ts"].astype("datetime64[ns]").astype("int64") // 1_000_000, rows["force_emit"], strict=True):
+        micros = rows["ts"].astype("datetime64[ns]").astype("int64") // 1000
+        for ts, force in zip(np.sign(micros) * ((micros.abs() + 500) // 1000), rows["force_emit"], strict=True):
             send = bool(force) or last is None or ts - last >= every_ms
             last = ts if send else last
             keep.append(send)

@@ -22,7 +22,7 @@ def both(spark, path, name, **tables):
     return sorted(map(tuple, got.select(columns).collect()), key=str), sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["progress_throttle"])
+@pytest.mark.parametrize("name", ["progress_throttle", "stream_throttle"])
 def test_throttle_by_whole_milliseconds(spark, tmp_path, name):
     t0 = dt.datetime(2024, 1, 1)
     times = {
