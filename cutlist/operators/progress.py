@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,16 @@ def phase_percent(phase: Column, percent: Column) -> Column:
     return F.when(phase == "concat", round_half_up(safe * 0.2)).otherwise(round_half_up(20 + safe * 0.8))
 
 
+def exact_percent(percent: Column) -> Column:
+    """A percent as a decimal, so that sums don't depend on the order of their rows; 0 if it is not finite."""
+    return F.when(finite(percent), percent).when(percent.isNotNull(), 0.0).cast("decimal(26,18)")
+
+
+def mean_percent(total: Column, n: Column) -> Column:
+    """Nearest whole number to the mean of ``n`` exact percents, halves upward."""
+    return F.floor(total / n + F.lit(Decimal("0.5"))).cast("long")
+
+
 def latest(events: DataFrame) -> DataFrame:
     """batch_id, job_id and the state with the largest seq; partial maxima are taken before the shuffle."""
     return events.groupBy("batch_id", "job_id").agg(F.max_by(F.struct("seq", "status", "pct"), "seq").alias("s")).select("batch_id", "job_id", "s.*")
@@ -47,7 +58,7 @@ def overall(latest_: DataFrame) -> DataFrame:
     return latest_.groupBy("batch_id").agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in ("done", "error", "canceled")],
         F.count("*").alias("total"),
-        round_half_up(F.avg("pct")).alias("percent"),
+        mean_percent(F.sum(exact_percent(F.col("pct"))), F.count("*")).alias("percent"),
     )
 
 
