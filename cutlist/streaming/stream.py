@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cutlist.functions.text import round_half_up
 from cutlist.operators import errors, progress
 from cutlist.sources.store import KeyedStore
 
@@ -22,7 +21,7 @@ def latest_progress(events: DataFrame) -> DataFrame:
 
 
 JOBS = "batch_id long, job_id long, seq long, status string, pct double"
-TOTALS = "batch_id long, done long, error long, canceled long, total long, pct decimal(38,6)"
+TOTALS = "batch_id long, done long, error long, canceled long, total long, pct decimal(37,18)"
 
 
 def _stores(spark: SparkSession, path: str) -> tuple[KeyedStore, KeyedStore]:
@@ -43,7 +42,7 @@ def overall_progress(events: DataFrame, path: str, checkpoint: str):
 
     def of(side: str) -> list:
         there = F.col(f"{side}.seq").isNotNull().cast("long")
-        return [*[F.coalesce((F.col(f"{side}.status") == s).cast("long"), F.lit(0)) for s in states], there, F.coalesce(F.col(f"{side}.pct").cast("decimal(28,6)"), F.lit(0))]
+        return [*[F.coalesce((F.col(f"{side}.status") == s).cast("long"), F.lit(0)) for s in states], there, F.coalesce(progress.exact_percent(F.col(f"{side}.pct")), F.lit(0))]
 
     def step(frame: DataFrame, k: int) -> None:
         jobs.append(frame, k)
@@ -52,7 +51,7 @@ def overall_progress(events: DataFrame, path: str, checkpoint: str):
         names = (*states, "total", "pct")
         delta = both.groupBy("batch_id").agg(*[F.sum(a - b).alias(n) for n, a, b in zip(names, of("now"), of("was"), strict=True)])
         sums = delta.alias("d").join(totals.read(k - 1).alias("t"), "batch_id", "left")
-        totals.append(sums.select("batch_id", *[(F.col(f"d.{n}") + F.coalesce(F.col(f"t.{n}"), F.lit(0))).cast("decimal(38,6)" if n == "pct" else "long").alias(n) for n in names]), k)
+        totals.append(sums.select("batch_id", *[(F.col(f"d.{n}") + F.coalesce(F.col(f"t.{n}"), F.lit(0))).cast("decimal(37,18)" if n == "pct" else "long").alias(n) for n in names]), k)
 
     return latest_progress(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(step)
 
@@ -60,7 +59,7 @@ def overall_progress(events: DataFrame, path: str, checkpoint: str):
 def overall(spark: SparkSession, path: str) -> DataFrame:
     """batch_id, done, error, canceled, total, percent of what ``overall_progress`` keeps under ``path``."""
     rows = _stores(spark, path)[1].read()
-    return rows.select("batch_id", "done", "error", "canceled", "total", round_half_up((F.col("pct") / F.col("total")).cast("double")).alias("percent"))
+    return rows.select("batch_id", "done", "error", "canceled", "total", progress.mean_percent(F.col("pct"), F.col("total")).alias("percent"))
 
 
 def classify_errors(lines: DataFrame) -> DataFrame:

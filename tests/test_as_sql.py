@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from cutlist.operators import progress
+from cutlist.streaming import stream
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -54,3 +55,11 @@ def test_mean_percent_is_exact(spark):
     rows = spark.createDataFrame(states([*ORDERS, *[of for of, _ in CLOSE]]), LATEST).coalesce(1)
     got = [r.percent for r in progress.overall(rows).orderBy("batch_id").collect()]
     assert got == [31] * len(ORDERS) + [n for _, n in CLOSE]
+
+
+def test_streamed_mean_percent_is_exact(spark, tmp_path):
+    spark.createDataFrame(states([*ORDERS[:3], *[of for of, _ in CLOSE]]), LATEST).write.parquet(f"{tmp_path}/events")
+    events = spark.readStream.schema(LATEST).parquet(f"{tmp_path}/events")
+    stream.overall_progress(events, f"{tmp_path}/kept", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
+    got = [r.percent for r in stream.overall(spark, f"{tmp_path}/kept").orderBy("batch_id").collect()]
+    assert got == [31] * 3 + [n for _, n in CLOSE]
