@@ -7,7 +7,7 @@ import __spark_entry__ as driver
 import duckdb
 import pytest
 
-from cutlist.operators import progress
+from cutlist.operators import captions, progress
 from cutlist.streaming import stream
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -63,3 +63,32 @@ def test_streamed_mean_percent_is_exact(spark, tmp_path):
     stream.overall_progress(events, f"{tmp_path}/kept", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
     got = [r.percent for r in stream.overall(spark, f"{tmp_path}/kept").orderBy("batch_id").collect()]
     assert got == [31] * 3 + [n for _, n in CLOSE]
+
+
+def exchanges(df):
+    """How often a plan moves rows, before it is run."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_captions_move_jobs_few_times(spark):
+    made = driver.queries()["captions_build"](spark, "/root/testdata/sf0.001")
+    print("exchanges", exchanges(made))
+    assert exchanges(made) <= 10
+
+
+def test_captions_of_odd_inputs(spark):
+    inf = float("inf")
+    timeline = [("a", 0, "/p", 0.0, 1000.0), ("a", 1, "/p", 1000.0, 0.0), ("b", 0, "/none", 0.0, 500.0), ("c", 0, "/p", inf, 500.0), ("d", 0, "/p", -5.0, 100.0), ("d", 1, "/p", None, 100.0), ("e", 0, "/p", 0.0, 9.0)]
+    spoken = spark.createDataFrame([("/p", k, f"w{k}", 0.4 * k, 0.4 * k + 0.3) for k in (2, 1, 0, 3)] + [("/p", 4, " ", 9.0, 9.5)], "path string, idx int, text string, start double, end double")
+    styles = spark.createDataFrame([(0, 2, "karaoke-fill", "Karaoke", "K"), (1, 3, "fade-in", "FadeIn", "F")], "style_id int, words_per_line int, animation string, style_name string, header string")
+    line = lambda a, b, name, text: f"Dialogue: 0,0:00:0{a:.2f},0:00:0{b:.2f},{name},,0,0,0,,{text}"
+    sung = lambda *ws: " ".join("{\\kf%d}w%d" % w for w in ws)
+    want = {
+        "a": "K\n" + "\n".join([line(0, 0.7, "Karaoke", sung((30, 0), (30, 1))), line(0.8, 1, "Karaoke", sung((20, 2))), line(1, 1.7, "Karaoke", sung((30, 0), (30, 1))), line(1.8, 2.5, "Karaoke", sung((30, 2), (30, 3)))]) + "\n",
+        "b": "F\n\n",
+        "d": "F\n" + line(0, 0.1, "FadeIn", "{\\fad(200,200)}w0") + "\n",
+    }
+    of = spark.createDataFrame([("a", 0), ("b", 1), ("c", 0), ("d", 1)], "job_id string, style_id int")
+    rows = spark.createDataFrame(timeline, "job_id string, seg int, path string, offset_ms double, duration_ms double")
+    assert {r.job_id: r.ass for r in captions.build(rows, spoken, styles, of).collect()} == want
+    assert {r.job_id: r.ass for r in captions.build(rows.join(of, "job_id"), spoken, styles).collect()} == want
