@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import pathlib
 
 import __spark_entry__ as driver
 import duckdb
@@ -96,3 +97,19 @@ def test_captions_of_odd_inputs(spark):
 
 def test_simple_captions_stay_with_their_source(spark):
     assert exchanges(driver.queries()["captions_simple"](spark, "/root/testdata/sf0.001")) == 1
+
+
+def shuffle_files(spark):
+    return {f for f in pathlib.Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+
+
+def left_behind(spark, name):
+    """Shuffle files that are there once a query is made, before its rows are asked for."""
+    before = shuffle_files(spark)
+    made = driver.queries()[name](spark, "/root/testdata/sf0.001")
+    return made, shuffle_files(spark) - before
+
+
+def test_words_in_segments_make_words_once(spark):
+    made, left = left_behind(spark, "words_in_segments")
+    assert not left and exchanges(made) <= 3
