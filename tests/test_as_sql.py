@@ -113,3 +113,9 @@ def left_behind(spark, name):
 def test_words_in_segments_make_words_once(spark):
     made, left = left_behind(spark, "words_in_segments")
     assert not left and exchanges(made) <= 3
+
+
+def test_repeats_are_marked_once(spark):
+    for name in ("words_normalize_chunks", "words_merge_recovered"):
+        made, left = left_behind(spark, name)
+        assert not left and exchanges(made) <= 2, name
