@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import shuffles_removed
+
 #: Names of the twelve fields of a caption style, here and in project files.
 STYLE = {
     "font_name": "fontName", "font_file": "fontFile", "font_size": "fontSize", "primary_color": "primaryColor", "highlight_color": "highlightColor", "outline_color": "outlineColor",
@@ -149,7 +151,8 @@ def transcript_key(path: F.Column, model: F.Column) -> F.Column:
 def write_transcripts(words: DataFrame, path: str) -> None:
     """Store rows (path, model, idx, text, start, end) by a key prefix: words, or speech intervals with ``text`` left empty in a store of their own."""
     keyed = words.withColumn("key", transcript_key(F.col("path"), F.col("model"))).withColumn("prefix", F.substring("key", 1, 2))
-    keyed.repartition("prefix").sortWithinPartitions("key", "idx").write.partitionBy("prefix").mode("append").parquet(path)
+    with shuffles_removed(words.sparkSession):
+        keyed.repartition("prefix").sortWithinPartitions("key", "idx").write.partitionBy("prefix").mode("append").parquet(path)
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:

@@ -119,3 +119,8 @@ def test_repeats_are_marked_once(spark):
     for name in ("words_normalize_chunks", "words_merge_recovered"):
         made, left = left_behind(spark, name)
         assert not left and exchanges(made) <= 2, name
+
+
+@pytest.mark.parametrize("name", ["io_transcripts_round_trip", "markers_detect", "qa_run", "qa_nudge"])
+def test_stored_tables_leave_no_shuffles(spark, name):
+    assert not left_behind(spark, name)[1]
